@@ -1 +1 @@
-
+"""Jobs over tables: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-
+"""Reading and writing the tables the jobs work on."""
