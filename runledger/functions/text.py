@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Use inside brackets, in a pattern that starts with (?U).
 WORD = r"\p{L}\p{N}_"
@@ -26,13 +27,13 @@ def unicode_pattern(pattern: str) -> str:
     return "(?dU)" + out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _fold_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda items: None if items is None else [
         None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in items])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 

@@ -40,7 +40,7 @@ def aware_timestamp(text: Column) -> Column:
                      _two(text, 5), F.lit(":"), _two(text, 6), F.lit(":"), _two(text, 7), F.lit("."),
                      fraction, F.lit("+00:00"))
     instant = F.when(text.rlike(_ISO), local).try_cast("timestamp")
-    return F.timestamp_micros(F.unix_micros(instant) - offset_seconds(text) * F.lit(1_000_000))
+    return F.timestamp_micros(F.unix_micros(instant) - offset_seconds(text).cast("bigint") * 1_000_000)
 
 
 def utc_timestamp(text: Column) -> Column:
