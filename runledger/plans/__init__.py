@@ -1 +1 @@
-
+"""Whole pipelines composed of operators."""

@@ -1 +1 @@
-
+"""Continuous forms of the jobs."""
