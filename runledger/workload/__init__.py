@@ -1 +1,6 @@
+"""Registered queries over the benchmark tables."""
 
+from runledger.workload import runs, text, transactions  # noqa: F401  (registration)
+from runledger.workload.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
