@@ -116,6 +116,17 @@ def has_exact_fields(obj: Column, names: Iterable[str], optional: Iterable[str]
                  & (F.size(F.array_except(expected, required)) == 0))
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once.
+
+    Later filters on a plain column would be rewritten in terms of its inputs,
+    copying long expressions (and their work) into every place that uses them.
+    The partition test is always true; it only tells the optimizer to leave the
+    column where it is.
+    """
+    return df.withColumn(name, F.when(F.spark_partition_id() >= 0, value))
+
+
 def split_valid(classified: DataFrame, reason: str, keep_on_reject: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and a quarantine holding ids and a reason code only.
 

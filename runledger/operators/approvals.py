@@ -33,27 +33,29 @@ def approval_defect(a: Column) -> Column:
 def validate_approvals(rows: DataFrame, json_column: str) -> DataFrame:
     """Judge approval records given as JSON text: exact fields, then content."""
     names = [f.name for f in S.struct(S.APPROVAL_DDL).fields]
-    staged = rows.withColumn("_obj", C.fields(C.json_value(F.col(json_column))))
+    staged = C.computed(rows, "_obj", C.fields(C.json_value(F.col(json_column))))
     o = F.col("_obj")
     # A value of another JSON type must not read as an allowed null.
     nullable_ok = C.all_hold(*[C.is_text(o[f]) | C.is_absent_or_null(o[f])
                                for f in ("approved_by", "decision_timestamp")])
-    staged = staged.withColumn("approval", F.struct(*[C.text_of(o[n]).alias(n) for n in names]))
+    staged = C.computed(staged, "approval", F.struct(*[C.text_of(o[n]).alias(n) for n in names]))
     reason = (F.when(o.isNull(), "not_an_object").when(~C.has_exact_fields(o, names), "wrong_fields")
               .when(~nullable_ok, "bad_decision_fields").otherwise(approval_defect(F.col("approval"))))
-    return (staged.withColumn("reject_reason", reason)
+    return (C.computed(staged, "reject_reason", reason)
             .withColumn("approval", F.when(F.col("reject_reason").isNull(), F.col("approval"))).drop("_obj"))
 
 
 def create_approvals(rows: DataFrame, context: str = "context", proposal: str = "proposal",
                      policy: str = "policy", approval_id: str = "approval_id",
-                     playbooks: DataFrame | None = None) -> DataFrame:
+                     playbooks: DataFrame | None = None, evaluated: str | None = None) -> DataFrame:
     """Pending or blocked approval records.
 
-    The policy is evaluated again here; a supplied decision that differs from
-    that evaluation creates no record.
+    The supplied policy is not trusted: it is compared with an own evaluation,
+    and a decision that differs creates no record. ``evaluated`` names a column
+    this job already got from :func:`evaluate_policy`, to evaluate only once.
     """
-    checked = evaluate_policy(rows, proposal, "_own_policy", playbooks)
+    checked = (evaluate_policy(rows, proposal, "_own_policy", playbooks) if evaluated is None
+               else rows.withColumn("_own_policy", F.col(evaluated)))
     ctx, p, own = F.col(context), F.col(proposal), F.col("_own_policy")
     record = F.struct(
         F.col(approval_id).alias("approval_id"),
@@ -63,11 +65,11 @@ def create_approvals(rows: DataFrame, context: str = "context", proposal: str =
         p["proposed_action"].alias("proposed_action"), own["decision"].alias("policy_decision"),
         F.lit(None).cast("string").alias("approved_by"),
         F.lit(None).cast("string").alias("decision_timestamp"))
-    staged = checked.withColumn("approval", record)
+    staged = C.computed(checked, "approval", record)
     reason = (F.when(own.isNull(), "invalid_proposal")
               .when(~same_policy(F.col(policy), own), "policy_mismatch")
               .otherwise(approval_defect(F.col("approval"))))
-    return (staged.withColumn("reject_reason", reason)
+    return (C.computed(staged, "reject_reason", reason)
             .withColumn("approval", F.when(F.col("reject_reason").isNull(), F.col("approval")))
             .drop("_own_policy"))
 
@@ -95,4 +97,5 @@ def apply_decisions(approvals: DataFrame, decisions: DataFrame, approval: str =
     decided = (a.withField("status", F.when(first["command"] == "approve", "APPROVED").otherwise("REJECTED"))
                .withField("approved_by", first["reviewer"])
                .withField("decision_timestamp", first["decided_iso"]))
-    return joined.withColumn(approval, F.when(changes, decided).otherwise(a)).select(*approvals.columns)
+    return C.computed(joined, "_after", F.when(changes, decided).otherwise(a)).select(
+        *[F.col("_after").alias(c) if c == approval else c for c in approvals.columns])

@@ -62,16 +62,16 @@ def proposal_defect(p: Column) -> Column:
 
 def _judge(rows: DataFrame, content: Column, out: str, ddl: str, names, defect, secrets) -> DataFrame:
     dtype = S.struct(ddl)
-    staged = rows.withColumn("_obj", C.fields(C.json_value(content))).withColumn("_raw", _typed(F.col("_obj"), ddl))
-    staged = staged.withColumn("_defect", F.when(F.col("_obj").isNull(), "not_an_object")
-                               .when(~C.has_exact_fields(F.col("_obj"), names), "wrong_fields")
-                               .otherwise(defect(F.col("_raw"))))
+    staged = C.computed(rows, "_obj", C.fields(C.json_value(content)))
+    staged = C.computed(staged, "_raw", _typed(F.col("_obj"), ddl))
+    staged = C.computed(staged, "_defect", F.when(F.col("_obj").isNull(), "not_an_object")
+                        .when(~C.has_exact_fields(F.col("_obj"), names), "wrong_fields")
+                        .otherwise(defect(F.col("_raw"))))
     # Only what will be shown counts, so the redacted record is judged again.
-    staged = staged.withColumn(out, F.when(F.col("_defect").isNull(),
-                                           safe_record(F.col("_raw"), dtype, secrets)))
+    staged = C.computed(staged, out, F.when(F.col("_defect").isNull(), safe_record(F.col("_raw"), dtype, secrets)))
     again = F.when(F.col("_defect").isNull() & defect(F.col(out)).isNotNull(), "invalid_after_redaction")
     reason = F.coalesce(F.col("_defect"), again)
-    return (staged.withColumn("reject_reason", reason)
+    return (C.computed(staged, "reject_reason", reason)
             .withColumn(out, F.when(F.col("reject_reason").isNull(), F.col(out)))
             .drop("_obj", "_raw", "_defect"))
 
@@ -91,7 +91,7 @@ def compact_contexts(rows: DataFrame, json_column: str, secrets: Iterable[str] =
     """Keep only the known context fields, each of its proper JSON type, redacted."""
     secrets = tuple(secrets)
     obj = C.fields(C.json_value(F.col(json_column)))
-    staged = rows.withColumn("_obj", obj)
+    staged = C.computed(rows, "_obj", obj)
     o = F.col("_obj")
     context = F.struct(*[
         (C.int_of(o[f.name]) if f.name in V.CONTEXT_INT_FIELDS else safe_text(C.text_of(o[f.name]), secrets))

@@ -1,8 +1,11 @@
 """Explicit schemas of the input and state tables."""
 
+from functools import lru_cache
+
 from pyspark.sql.types import _parse_datatype_string
 
 
+@lru_cache(maxsize=None)
 def _schema(ddl: str):
     return _parse_datatype_string(ddl)
 

@@ -208,7 +208,7 @@ SELECT {_K} AS okey, 'dag_' || (o_custkey % 20) AS dag_id, (CASE {_K} % 61 WHEN
        || '","task_id":"task_' || ({_K} % 7)
        || '","started_at":"2024-03-01T11:00:00' || {pick(_K, ["'+00:00'", "'Z'", "'+00:00'", "'+00:00'", "''", "'Z'", "'+01:00'", "'+00:00'", "'+00:00'", "'Z'", "'Z'"])}
        || '","completed_at":"2024-03-01T11:0' || ({_K} % 10) || ':00+00:00"'
-       || ',"result":' || {pick(_K, ["'null'"] + ["'{{{{\"message\":\"done\",\"mutations_performed\":false}}}}'"] * 10 + ["'{{{{\"message\":\"done\",\"mutations_performed\":true}}}}'", "'{{{{\"message\":\"done\",\"mutations_performed\":0}}}}'"])}
+       || ',"result":' || {pick(_K, ["'null'"] + ["'{{\"message\":\"done\",\"mutations_performed\":false}}'"] * 10 + ["'{{\"message\":\"done\",\"mutations_performed\":true}}'", "'{{\"message\":\"done\",\"mutations_performed\":0}}'"])}
        || (CASE {_K} % 29 WHEN 0 THEN ',"repair_verified":true' ELSE '' END) || '}}}}' AS execution_json,
        'va_' || {_K} AS validation_id, CAST('2024-03-01 11:07:30' AS TIMESTAMP) AS validated_at
 FROM {{orders}}"""
