@@ -14,23 +14,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runledger import fixed_values as V
-from runledger.functions.text import BOUNDARY, SPACE, WORD, first_line
+from runledger.functions.text import BOUNDARY, SPACE, WORD, first_line, let
 
 _TOKEN = "[A-Za-z0-9_-]"
-_JWT = rf"{BOUNDARY}eyJ{_TOKEN}*\.{_TOKEN}+\.{_TOKEN}+"
-_BEARER = rf"(?iU){BOUNDARY}bearer[{SPACE}]+[^{SPACE}]+"
+_START = rf"(?<![{WORD}])"  # a boundary before a word character
+_JWT = rf"{_START}eyJ{_TOKEN}*\.{_TOKEN}+\.{_TOKEN}+"
+_BEARER = rf"(?iU){_START}bearer[{SPACE}]+[^{SPACE}]+"
 _URL_LOGIN = rf"(?U)(://)[^{SPACE}/@]+:[^{SPACE}/@]+@"
 _VALUE = rf"""("[^"\n]*"|'[^'\n]*'|[^{SPACE},;]+)"""
-_VENDOR_KEY = rf"{BOUNDARY}(?:{V.VENDOR_KEY_PREFIXES}){_TOKEN}+{BOUNDARY}"
+_VENDOR_KEY = rf"{_START}(?:{V.VENDOR_KEY_PREFIXES}){_TOKEN}+{BOUNDARY}"
 _STORED_LABEL = (rf"""(?iU)({BOUNDARY}[{WORD}-]*(?:{V.STORED_LABELS})[{WORD}-]*{BOUNDARY}"""
                  rf"""["']?[{SPACE}]*[:=][{SPACE}]*){_VALUE}""")
-_EVIDENCE_LABEL = (rf"""(?iU)({BOUNDARY}(?:{V.EVIDENCE_LABELS}){BOUNDARY}"""
+_EVIDENCE_LABEL = (rf"""(?iU)({_START}(?:{V.EVIDENCE_LABELS}){BOUNDARY}"""
                    rf"""["']?[{SPACE}]*[:=][{SPACE}]*){_VALUE}""")
 _PEM = r"(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*PRIVATE KEY-----"
 
-_COMMON = ((_JWT, V.MASK), (_BEARER, f"Bearer {V.MASK}"), (_URL_LOGIN, f"$1{V.MASK}@"))
-_STORED_RULES = ((_VENDOR_KEY, V.MASK), *_COMMON, (_STORED_LABEL, f"$1{V.MASK}"), (_PEM, V.MASK))
-_EVIDENCE_RULES = (*_COMMON, (_EVIDENCE_LABEL, f"$1{V.MASK}"))
+
+def _holds_any(*words: str):
+    return lambda text: text.contains(words[0]) if len(words) == 1 else (
+        text.contains(words[0]) | _holds_any(*words[1:])(text))
+
+
+def _holds_label(text: Column) -> Column:
+    # Letters that match a label letter without regard to case, but not in lower case.
+    odd = text.rlike("[\u017f\u212a\u0130\u0131]")
+    return odd | _holds_any("passw", "secret", "token", "api", "authorization", "credential")(F.lower(text))
+
+
+# (cheap test that the rule can apply at all, pattern, replacement)
+_COMMON = ((_holds_any("eyJ"), _JWT, V.MASK),
+           (lambda text: F.lower(text).contains("bearer"), _BEARER, f"Bearer {V.MASK}"),
+           (_holds_any("://"), _URL_LOGIN, f"$1{V.MASK}@"))
+_STORED_RULES = ((_holds_any("gsk_", "sk-"), _VENDOR_KEY, V.MASK), *_COMMON,
+                 (_holds_label, _STORED_LABEL, f"$1{V.MASK}"), (_holds_any("-----BEGIN "), _PEM, V.MASK))
+_EVIDENCE_RULES = (*_COMMON, (_holds_label, _EVIDENCE_LABEL, f"$1{V.MASK}"))
 
 
 def _mask_known(text: Column, secrets: Iterable[str]) -> Column:
@@ -40,8 +57,11 @@ def _mask_known(text: Column, secrets: Iterable[str]) -> Column:
 
 
 def _apply(text: Column, rules) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, pattern, replacement)
+    def step(possible, pattern, replacement):
+        return lambda t: F.when(possible(t), F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    for rule in rules:
+        text = let(text, step(*rule))
     return text
 
 

@@ -38,13 +38,18 @@ def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
 
-def _is_ascii(text: Column) -> Column:
+def is_ascii(text: Column) -> Column:
     return text.rlike(_ASCII)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def casefold(text: Column) -> Column:
     """Full case folding. Only rows with non-ASCII text carry data to Python."""
-    return F.coalesce(_casefold(F.when(~_is_ascii(text), text)), F.lower(text))
+    return F.coalesce(_casefold(F.when(~is_ascii(text), text)), F.lower(text))
 
 
 def normalize_texts(texts: Column) -> Column:
@@ -54,7 +59,7 @@ def normalize_texts(texts: Column) -> Column:
     The compatibility form has no built-in expression, so rows with a non-ASCII
     text go through one Arrow batch function; the rest stays in the JVM.
     """
-    foreign = F.exists(texts, lambda t: ~_is_ascii(t))
+    foreign = F.exists(texts, lambda t: ~is_ascii(t))
     folded = F.coalesce(_fold_all(F.when(foreign, texts)), F.transform(texts, F.lower))
 
     def tidy(text: Column) -> Column:
