@@ -86,18 +86,41 @@ def mask_log_secrets(text: Column, secrets: Iterable[str]) -> Column:
 def over_leaves(value: Column, dtype: T.DataType, fn) -> Column:
     """Apply ``fn`` to every string inside a column of any nested type.
 
-    Keys, numbers, booleans and nulls stay as they are.
+    Keys, numbers, booleans and nulls stay as they are. All plain texts of a
+    record go through one array, so the rules appear once in the plan however
+    many fields the record has.
     """
-    if isinstance(dtype, T.StringType):
-        return fn(value)
-    if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda x: over_leaves(x, dtype.elementType, fn))
-    if isinstance(dtype, T.MapType):
-        return F.transform_values(value, lambda _, x: over_leaves(x, dtype.valueType, fn))
-    if isinstance(dtype, T.StructType):
-        inner = F.struct(*[over_leaves(value[f.name], f.dataType, fn).alias(f.name) for f in dtype.fields])
-        return F.when(value.isNotNull(), inner)
-    return value
+    texts: list[Column] = []
+    lists: list[Column] = []
+
+    def rebuild(node: Column, kind: T.DataType, parts) -> Column:
+        """Collect leaves (``parts`` is None) or put the treated ones in place."""
+        if isinstance(kind, T.StringType):
+            texts.append(node)
+            return node if parts is None else F.get(parts["texts"], F.lit(len(texts) - 1))
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+            lists.append(node)
+            return node if parts is None else F.get(parts["lists"], F.lit(len(lists) - 1))
+        if isinstance(kind, T.StructType):
+            inner = F.struct(*[rebuild(node[f.name], f.dataType, parts).alias(f.name) for f in kind.fields])
+            return F.when(node.isNotNull(), inner)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(node, lambda x: over_leaves(x, kind.elementType, fn))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(node, lambda _, x: over_leaves(x, kind.valueType, fn))
+        return node
+
+    rebuild(value, dtype, None)
+    empty = "array<string>"
+    parts = F.struct(F.transform(F.array(*texts).cast(empty), fn).alias("texts"),
+                     F.transform(F.array(*lists).cast(f"array<{empty}>"), lambda a: F.transform(a, fn)).alias("lists"))
+
+    def place(done: Column) -> Column:
+        texts.clear()
+        lists.clear()
+        return rebuild(value, dtype, done)
+
+    return let(parts, place)
 
 
 def redact_record(value: Column, dtype: T.DataType, secrets: Iterable[str] = ()) -> Column:

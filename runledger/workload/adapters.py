@@ -228,6 +228,45 @@ SELECT 'restore_input_' || n_nationkey AS playbook, 'dag_' || (n_nationkey % 20)
 FROM {{nation}}"""
 
 
+# Incident records as JSON text: sound ones, every kind of broken one, and the
+# optional sections. Template braces are written as @< and @>.
+_INCIDENT = """
+SELECT okey, '@<"incident_id":"in_' || okey || '","recorded_at":"2024-03-01T12:00:00' || (CASE okey % 37 WHEN 0 THEN '' WHEN 1 THEN 'Z' ELSE '+00:00' END)
+ || '","dag_id":"' || dag_id || '","dag_run_id":"' || dag_run_id || '","task_id":"' || task_id || '","historical_only":' || (CASE okey % 41 WHEN 0 THEN 'false' ELSE 'true' END)
+ || ',"failure":@<"exception_type":"' || exception_type || '","exception_message":"' || exception_message || ' token=t' || okey
+ || '","source_file":null,"source_line":' || (CASE okey % 43 WHEN 0 THEN '-1' WHEN 1 THEN '4.5' WHEN 2 THEN 'null' ELSE '' || (okey % 300) END) || ',"failed_function":"step"@>'
+ || ',"rca":@<"summary":"' || (CASE okey % 47 WHEN 0 THEN ' ' ELSE 'Late input' END) || '","root_cause":"Upstream","confidence":' || (CASE okey % 53 WHEN 0 THEN 'true' WHEN 1 THEN '1.5' ELSE '0.5' END) || '@>'
+ || ',"remediation":@<"action_type":"investigation","proposed_action":"Look at it","risk_level":"' || (CASE okey % 59 WHEN 0 THEN 'severe' ELSE 'low' END) || '"@>'
+ || ',"policy":@<"decision":"' || (CASE okey % 61 WHEN 0 THEN 'block' ELSE 'require_approval' END) || '","calculated_risk":"low"@>'
+ || ',"approval":@<"status":"' || approval || '","approved_by":' || (CASE WHEN approval = 'APPROVED' AND okey % 67 <> 0 THEN '"ann"' ELSE 'null' END)
+ || ',"decision_timestamp":' || (CASE WHEN approval <> 'APPROVED' THEN 'null' WHEN okey % 71 = 0 THEN '"2024-03-01T13:00:00+00:00"' ELSE '"2024-03-01T11:00:00+00:00"' END) || '@>'
+ || ',"execution":@<"operation":"' || operation || '","status":"' || execution || '","mutations_performed":' || (CASE okey % 73 WHEN 0 THEN 'true' ELSE 'false' END) || '@>'
+ || ',"validation":@<"validation_status":"' || (CASE okey % 79 WHEN 0 THEN 'VERIFIED_HEALTHY' ELSE 'NOT_REPAIRED' END) || '","repair_verified":' || (CASE WHEN okey % 79 = 0 AND okey % 2 = 0 THEN 'true' ELSE 'false' END) || ',"reason":"None made."@>'
+ || (CASE okey % 31 WHEN 0 THEN ',"note":"x"' ELSE '' END)
+ || (CASE WHEN okey % 6 IN (1, 2) THEN ',"playbook_attempt":@<"playbook":"' || (CASE okey % 83 WHEN 0 THEN 'other' ELSE 'restore_input' END)
+   || '","proposal":@<"incident_summary":"Input gone","proposed_action":"Restore the input.","action_type":"configuration_change","target":"config/input.json","reason":"Known","risk_level":"medium","confidence":1.0,"requires_human_approval":true,"validation_steps":["Check it."],"rollback_plan":"Put it back."@>'
+   || ',"policy":@<"decision":"require_approval","calculated_risk":"medium","reasons":["known"],"allowed_actions":["restore_input"],"blocked_actions":[],"requires_human_approval":true@>'
+   || ',"approval":@<"approval_id":"pa","status":"APPROVED","dag_id":"' || dag_id || '","dag_run_id":"' || (CASE okey % 17 WHEN 0 THEN 'run_other' ELSE dag_run_id END) || '","task_id":"' || task_id
+   || '","action_type":"configuration_change","calculated_risk":"medium","proposed_action":"Restore the input.","policy_decision":"require_approval","approved_by":"ann","decision_timestamp":"2024-03-01T11:30:00+00:00"@>'
+   || ',"execution":@<"playbook":"restore_input","status":"' || (CASE okey % 5 WHEN 0 THEN 'REFUSED' ELSE 'COMPLETED' END) || '","dag_id":"' || dag_id || '","task_id":"' || task_id
+   || '","changes":[@<"target":"config/input.json","before":@<"fail":true@>,"after":@<"fail":' || (CASE okey % 19 WHEN 0 THEN 'true' ELSE 'false' END) || '@>@>],"message":"password=p' || okey || '"@>'
+   || ',"final_state":"' || (CASE okey % 5 WHEN 0 THEN 'NOT_REPAIRED' ELSE 'REMEDIATION_APPLIED_PENDING_VALIDATION' END) || '","repair_verified":' || (CASE okey % 89 WHEN 0 THEN 'true' ELSE 'false' END) || ',"error":null@>' ELSE '' END)
+ || (CASE WHEN okey % 6 = 2 THEN ',"verification":@<"original_dag_run_id":"' || dag_run_id || '","verification_dag_run_id":"' || (CASE okey % 13 WHEN 0 THEN dag_run_id ELSE 'new_' || okey END)
+   || '","dag_id":"' || dag_id || '","trigger_status":"CREATED","dag_run_state":"success","task_states":@<"task_1":"success","task_2":"' || (CASE okey % 11 WHEN 0 THEN 'failed' ELSE 'success' END)
+   || '"@>,"repair_verified":true,"verification_status":"VERIFIED_HEALTHY","reason":"all fine"@>,"final_outcome":@<"state":"' || (CASE okey % 23 WHEN 0 THEN 'TIMEOUT' ELSE 'VERIFIED_HEALTHY' END) || '","repair_verified":true@>' ELSE '' END)
+ || (CASE okey % 97 WHEN 0 THEN '' ELSE '@>' END) AS line
+FROM (SELECT o.o_orderkey AS okey, 'dag_' || (o.o_custkey % 20) AS dag_id, 'run_' || o.o_orderkey AS dag_run_id, 'task_' || (o.o_orderkey % 7) AS task_id,
+  @types AS exception_type, c.c_mktsegment || ' ' || o.o_orderpriority || ' e' || (o.o_orderkey % 50) AS exception_message,
+  (CASE o.o_orderkey % 4 WHEN 0 THEN 'BLOCKED' WHEN 1 THEN 'PENDING_APPROVAL' ELSE 'APPROVED' END) AS approval,
+  (CASE WHEN o.o_orderkey % 4 > 1 OR o.o_orderkey % 101 = 0 THEN 'COMPLETED' ELSE 'REFUSED' END) AS execution,
+  (CASE o.o_orderkey % 3 WHEN 0 THEN 'other_operation' ELSE 'read_only_investigation' END) AS operation
+  FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey) t"""
+VIEWS["incident_json"] = (_INCIDENT.replace("@types", pick("o.o_orderkey", [text(x) for x in ("ValueError", "KeyError", "TimeoutError", "IOError")]))
+                          .replace("@<", "{{").replace("@>", "}}"))
+EXPECTED_CHANGE = '{"target": "config/input.json", "before": {"fail": true}, "after": {"fail": false}}'
+INCIDENT_RULES = {"playbooks": ("restore_input",), "required": REQUIRED_TASKS}
+
+
 def tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 

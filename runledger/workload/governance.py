@@ -184,8 +184,7 @@ def approval_records(spark, sf):
 _TIME_OK = "record->>'$.decision_timestamp' IN ('2024-03-01T10:00:00+00:00', '2024-03-01T10:00:00Z')"
 
 
-@query("approval_validation", f"""{cte("approval_json")}, a AS (SELECT okey, CAST(record AS JSON) AS record FROM approval_json)
-SELECT okey, CASE WHEN json_exists(record, '$.note') THEN 'wrong_fields'
+_APPROVAL_REASON = f"""CASE WHEN json_exists(record, '$.note') THEN 'wrong_fields'
 WHEN json_type(record, '$.decision_timestamp') NOT IN ('VARCHAR', 'NULL') THEN 'bad_decision_fields'
 WHEN trim(record->>'$.dag_run_id') = '' THEN 'blank_text'
 WHEN record->>'$.status' NOT IN {_in(V.APPROVAL_STATUSES)} THEN 'bad_value'
@@ -193,7 +192,11 @@ WHEN (record->>'$.policy_decision' = 'block') <> (record->>'$.status' = 'BLOCKED
 WHEN record->>'$.status' IN ('PENDING_APPROVAL', 'BLOCKED') THEN
   CASE WHEN record->>'$.approved_by' IS NOT NULL OR record->>'$.decision_timestamp' IS NOT NULL THEN 'decision_on_undecided' END
 WHEN trim(coalesce(record->>'$.approved_by', '')) = '' THEN 'no_reviewer'
-WHEN NOT coalesce({_TIME_OK}, false) THEN 'bad_decision_time' END AS reject_reason FROM a""")
+WHEN NOT coalesce({_TIME_OK}, false) THEN 'bad_decision_time' END"""
+
+
+@query("approval_validation", f"""{cte("approval_json")}, a AS (SELECT okey, CAST(record AS JSON) AS record FROM approval_json)
+SELECT okey, {_APPROVAL_REASON} AS reject_reason FROM a""")
 def approval_validation(spark, sf):
     return AP.validate_approvals(view(spark, sf, "approval_json"), "record").select("okey", "reject_reason")
 
