@@ -6,46 +6,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runledger import fixed_values as V
+from runledger.functions.text import let
 
 # date, separator, hour[:minute[:second[fraction]]], zone - extended or basic form
 _ISO = (r"(?s)^(\d{4})(-?)(\d{2})\2(\d{2}).(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
         r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)$")
 
 
-def _part(text: Column, index: int) -> Column:
-    return F.regexp_extract(text, _ISO, index)
+def _with_parts(text: Column, body) -> Column:
+    """``body`` of [date, hour, minute, second, fraction, zone]; null if the text
+    is not an ISO timestamp with a zone. The text is matched once."""
+    parts = F.split(F.regexp_replace(text, _ISO, "$1-$3-$4|$5|$6|$7|$8|$9"), r"\|")
+    return F.when(text.rlike(_ISO), let(parts, lambda p: body(lambda i: F.get(p, F.lit(i)))))
 
 
-def _two(text: Column, index: int) -> Column:
-    return F.lpad(_part(text, index), 2, "0")
+def _zone_seconds(zone: Column) -> Column:
+    digits = F.rpad(F.substring(F.replace(zone, F.lit(":"), F.lit("")), 2, 6), 6, "0")
+    size = (F.substring(digits, 1, 2).cast("int") * 3600 + F.substring(digits, 3, 2).cast("int") * 60
+            + F.substring(digits, 5, 2).cast("int"))
+    return F.when(zone == "Z", 0).when(zone.startswith("-"), -size).otherwise(size)
 
 
 def offset_seconds(text: Column) -> Column:
     """Zone offset of an ISO timestamp; null when the text carries none."""
-    zone = F.regexp_replace(_part(text, 9), ":", "")
-    digits = F.rpad(F.substring(zone, 2, 6), 6, "0")
-    size = (F.try_to_number(F.substring(digits, 1, 2), F.lit("99")).cast("int") * 3600
-            + F.try_to_number(F.substring(digits, 3, 2), F.lit("99")).cast("int") * 60
-            + F.try_to_number(F.substring(digits, 5, 2), F.lit("99")).cast("int"))
-    return (F.when(~text.rlike(_ISO), None)
-            .when(zone == "Z", 0)
-            .when(zone.startswith("-"), -size)
-            .otherwise(size))
+    return _with_parts(text, lambda part: _zone_seconds(part(5)))
+
+
+def _instant(part) -> Column:
+    local = F.concat(part(0), F.lit(" "), F.lpad(part(1), 2, "0"), F.lit(":"), F.lpad(part(2), 2, "0"), F.lit(":"),
+                     F.lpad(part(3), 2, "0"), F.lit("."), F.rpad(F.substring(part(4), 1, 6), 6, "0"),
+                     F.lit("+00:00")).try_cast("timestamp")
+    return F.timestamp_micros(F.unix_micros(local) - _zone_seconds(part(5)).cast("bigint") * 1_000_000)
 
 
 def aware_timestamp(text: Column) -> Column:
     """The instant of an ISO text that names its zone; null for anything else."""
-    fraction = F.rpad(F.substring(_part(text, 8), 1, 6), 6, "0")
-    local = F.concat(_part(text, 1), F.lit("-"), _part(text, 3), F.lit("-"), _part(text, 4), F.lit(" "),
-                     _two(text, 5), F.lit(":"), _two(text, 6), F.lit(":"), _two(text, 7), F.lit("."),
-                     fraction, F.lit("+00:00"))
-    instant = F.when(text.rlike(_ISO), local).try_cast("timestamp")
-    return F.timestamp_micros(F.unix_micros(instant) - offset_seconds(text).cast("bigint") * 1_000_000)
+    return _with_parts(text, _instant)
 
 
 def utc_timestamp(text: Column) -> Column:
     """As above, and the zone offset must be zero."""
-    return F.when(offset_seconds(text) == 0, aware_timestamp(text))
+    return _with_parts(text, lambda part: F.when(_zone_seconds(part(5)) == 0, _instant(part)))
 
 
 def iso_utc(instant: Column) -> Column:
