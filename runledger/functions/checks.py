@@ -108,12 +108,10 @@ def number_of(value: Column) -> Column:
 
 def has_exact_fields(obj: Column, names: Iterable[str], optional: Iterable[str] = ()) -> Column:
     """The object's key set equals ``names``, not counting ``optional`` keys."""
-    expected = F.array(*[F.lit(n) for n in names])
-    keys = F.map_keys(obj)
-    extra = F.array(*[F.lit(n) for n in optional]).cast("array<string>")
-    required = F.array_except(keys, extra)
-    return holds((F.size(F.array_except(required, expected)) == 0)
-                 & (F.size(F.array_except(expected, required)) == 0))
+    keys, skip = F.map_keys(obj), list(optional)
+    if skip:
+        keys = F.filter(keys, lambda k: ~k.isin(skip))
+    return holds(F.array_sort(keys) == F.array(*[F.lit(n) for n in sorted(names)]))
 
 
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A JSON object with a repeated key keeps the last value instead of failing.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # The JVM never compiles methods above 8000 bytes of bytecode; beyond that,
+    # splitting the long check cascades into small methods is many times faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -38,6 +41,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for a scan that has fewer splits than there are cores.
+
+    A scan of a large table has plenty of splits and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def cut_lineage(df, purpose: str):
     """Write ``df`` to the shared folder and read it back.
 

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runledger.session import spread
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -275,11 +277,19 @@ def needed(template: str) -> list[str]:
     return sorted({n for n in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", template) if n in BASE_TABLES})
 
 
+# Views whose rows cost much CPU downstream; a single small file would keep
+# them in one task.
+_HEAVY = ("proposal_json", "rca_json", "approval_json", "execution_json", "incident_json")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The derived table as a DataFrame."""
     template = VIEWS[name]
     rendered = template.replace("\\", "\\\\")
-    return spark.sql(rendered, **tables(spark, sf_dir, needed(template)))
+    base = tables(spark, sf_dir, needed(template))
+    if name in _HEAVY:
+        base["orders"] = spread(base["orders"])
+    return spark.sql(rendered, **base)
 
 
 def cte(*names: str) -> str:
