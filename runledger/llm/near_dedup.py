@@ -18,8 +18,8 @@ missed with probability 2e-7, a closer pair less often.
 
 Lists of many classes are not expanded into all pairs. In each of ``STARS`` rounds
 every list compares its members with one hub, and confirmed links merge components;
-then lists that still hold several components compare members of different
-components, all of them. Two members of one component need no comparison, so no
+then lists that still hold several components compare their members of different
+components, all of them, inside the list and without a row for each pair. Two members of one component need no comparison, so no
 link between components is lost.
 
 Texts without words and null texts have an empty set and are linked with nothing:
@@ -34,7 +34,9 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,11 @@ from runledger.llm.shingles import minima, shingle_sets
 #: Signature coordinates and the collisions asked of a candidate.
 SIZE, MATCHES = 32, 13
 #: Rounds in which a list is compared with one hub.
-STARS = 3
+STARS = 2
+#: Rows of a list of texts (node, hash and id, 40 bytes each) that may be broadcast.
+BROADCAST = 500_000
+#: Shingles of one part of a list.
+PART = 1 << 19
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -70,28 +76,28 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, cls binary, n long, sig array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``cls`` and ``shingles`` of each text."""
+def full_sets(holders: DataFrame, width: int) -> DataFrame:
+    """``node`` and ``shingles`` of each text that has the set its row names (node, cls, text)."""
     def run(batches):
         for batch in chunks(batches, "text"):
             sets = shingle_sets(_bytes(batch.column("text")), width)
+            same = [_class(s) == c for s, c in zip(sets, batch.column("cls").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_class(s) for s in sets], pa.binary()),
-                 pa.array([s.view("int64") for s in sets], pa.list_(pa.int64()))], ["cls", "shingles"])
+                [batch.column("node").filter(pa.array(same, pa.bool_())),
+                 pa.array([s.view("int64") for s, ok in zip(sets, same) if ok], pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "cls binary, shingles array<long>")
+    return holders.select("node", "cls", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def prefix_postings(classes: DataFrame) -> DataFrame:
-    """``key``, ``cls`` and ``n``: the postings of each class's prefix that other classes hold as well."""
-    posted = classes.select("cls", "n", F.posexplode("sig").alias("at", "value")).select(
-        "cls", "n", F.xxhash64("at", "value").alias("key"))
+    """``key``, ``node`` and ``n``: the postings of each class's prefix that other classes hold as well."""
+    posted = classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", F.xxhash64("at", "value").alias("key"))
     lists = posted.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = posted.join(lists, "key").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("own"))
+    shared = posted.join(lists, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("own"))
     # Postings that only this class holds come first in the order and use up the prefix.
     room = F.lit(SIZE - MATCHES + 1) - (F.lit(SIZE) - F.size("own"))
-    return (shared.where(room > 0).select("cls", "n", F.explode(F.slice("own", F.lit(1), room)).alias("p"))
-            .select(F.col("p.key").alias("key"), "cls", "n"))
+    prefix = shared.where(room > 0).select("node", F.explode(F.slice("own", F.lit(1), room)).alias("p"))
+    return prefix.select(F.col("p.key").alias("key"), "node").join(classes.select("node", "n"), "node")
 
 
 def _collisions(a: str, b: str) -> Column:
@@ -102,49 +108,116 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures collide often enough and whose full sets are near."""
-    of = lambda t, x, value: t.select(F.col("cls").alias(x), F.col(value).alias(f"{value}_{x}"))
-    likely = (pairs.join(of(classes, "a", "sig"), "a").join(of(classes, "b", "sig"), "b")
-              .where(_collisions("sig_a", "sig_b") >= MATCHES).select("a", "b"))
+def sets_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``node`` and ``shingles`` of the classes in ``nodes``, from one text of each.
+
+    Their list is broadcast to the scan of the texts if it is short, else the texts are joined by a shuffle.
+    """
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "cls", "least"), "wanted")
+    few = wanted.count() <= BROADCAST
+    holders = texts.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("least")))
+    return stored(full_sets(holders, width).dropDuplicates(["node"]), "sets")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose signatures collide often enough and whose full sets are near."""
+    of = lambda t, x, value: t.select(F.col("node").alias(x), F.col(value).alias(f"{value}_{x}"))
+    likely = stored(pairs.join(of(classes, "a", "sig"), "a").join(of(classes, "b", "sig"), "b")
+                    .where(_collisions("sig_a", "sig_b") >= MATCHES).select("a", "b"), "likely")
+    ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(ends, classes, texts, width)
     both = likely.join(of(sets, "b", "shingles"), "b").join(of(sets, "a", "shingles"), "a")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     union = F.size("shingles_a") + F.size("shingles_b") - common
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
+def near_in_list(key: int, items: pa.StructArray, percent: int, across: bool) -> list[tuple[int, int]]:
+    """Pairs of nodes of different components in one list (or two parts of it) that are near by their short hashes.
+
+    Members outside the largest component are counted against all others by way of the
+    list's own inverted index. A pair is reported by its least common list only.
+    """
+    node, label, n, part = (np.asarray(items.field(x)) for x in ("node", "label", "n", "part"))
+    own, short = items.field("own").to_pylist(), items.field("short")
+    length = np.asarray(pc.list_value_length(short))
+    flat = np.asarray(short.flatten())
+    _, term = np.unique(flat, return_inverse=True)
+    holder = np.repeat(np.arange(len(node)), length)[np.argsort(term, kind="stable")]
+    first = np.append(0, np.cumsum(np.bincount(term)))
+    begin = np.append(0, np.cumsum(length))
+    names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
+    minor, out = inverse != count.argmax(), []
+    for i in np.flatnonzero(minor).tolist():
+        terms = term[begin[i]:begin[i + 1]]
+        many = first[terms + 1] - first[terms]
+        at = np.repeat(first[terms] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(holder[at], minlength=len(node))
+        near = (common * 100 >= (n[i] + n - common) * percent) & (label != label[i])
+        near &= (part != part[i]) == across
+        near[:i] &= ~minor[:i]
+        for j in np.flatnonzero(near).tolist():
+            if min(set(own[i]) & set(own[j])) == key:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return out
+
+
+def across_components(held: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Likely pairs (a, b) of different components among the members of each list in ``held`` (key, node, n, label).
+
+    A list is handled in parts of about ``PART`` shingles, two parts at a time, so no task holds
+    more than that, and only pairs that are near become rows.
+    """
+    nodes = stored(held.groupBy("node", "n", "label").agg(F.collect_list("key").alias("own")), "members")
+    sets = sets_of(nodes.select("node"), classes, texts, width)
+    short = F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    full = nodes.join(sets.select("node", short.alias("short")), "node")
+    parts = held.groupBy("key").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    spread = (full.withColumn("key", F.explode("own")).join(parts, "key")
+              .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    grouped = spread.groupBy("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")).agg(
+        F.collect_list(F.struct("node", "label", "n", "part", "own", "short")).alias("items"))
+
+    def run(batches):
+        for batch in batches:
+            for i, (key, low, high) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("key", "low", "high")))):
+                found = near_in_list(key, batch.column("items").slice(i, 1).flatten(), percent, low != high)
+                columns = zip(*found) if found else ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return grouped.mapInArrow(run, "a long, b long").distinct()
+
+
 def link(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row, linked at ``percent`` of Jaccard similarity."""
     texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = stored(signatures(texts, width), "signatures")
+    # A class is named by a number from here on; it is written with it and so keeps it.
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(
-        F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "classes")
+        F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn(
+        "node", F.monotonically_increasing_id()), "classes")
     posts = stored(prefix_postings(classes), "postings")
-    members = classes.join(posts.select("cls").distinct(), "cls", "left_semi")
-    wanted = stored(members.select("cls", "least", "n", "sig"), "candidates")
-    holders = texts.join(wanted.select("least"), F.col("id").eqNullSafe(F.col("least")), "left_semi")
-    sets = stored(full_sets(holders, width).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     links, labels = [], None
+    rank = lambda turn: F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", "node", F.lit(turn))
     for turn in range(STARS + 1):
-        held = posts.withColumn("label", F.col("cls")) if labels is None else posts.join(
-            labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        lists = held.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"),
-            F.min(F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", "cls", F.lit(turn)), "cls", "n", "label")).alias("hub"),
-        ).where("low < high")
+        held = posts.withColumn("label", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn(
+            "label", F.coalesce("label", "node"))
+        several = [F.min("label").alias("low"), F.max("label").alias("high")]
         if turn < STARS:
-            pairs = held.join(lists, "key").select(
-                F.col("cls").alias("a"), F.col("hub.cls").alias("b"), "n", F.col("hub.n").alias("m"), "label", F.col("hub.label").alias("other"))
+            lists = held.groupBy("key").agg(*several, F.min(F.struct(rank(turn), "node", "n", "label")).alias("hub")).where("low < high")
+            pairs = held.join(lists, "key").where("label <> hub.label").where(_near_sizes("n", "hub.n", percent)).select(
+                F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
         else:
-            some = held.join(lists.select("key"), "key", "left_semi")
-            pairs = some.select("key", F.col("cls").alias("a"), "n", "label").join(
-                some.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("label").alias("other")), "key").where("label < other")
-        pairs = pairs.where("label <> other").where(_near_sizes("n", "m", percent)).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links.append(stored(confirmed(pairs, wanted, sets, percent), "links"))
+            # The hubs have met all members of their lists; what is left are pairs of others.
+            hubs = posts.groupBy("key").agg(*(F.min(F.struct(rank(t).alias("rank"), "node")).alias(f"hub{t}") for t in range(STARS)))
+            others = reduce(DataFrame.where, [F.col("node") != F.col(f"hub{t}.node") for t in range(STARS)], held.join(hubs, "key"))
+            others = stored(others.select("key", "node", "n", "label"), "others")
+            lists = others.groupBy("key").agg(*several).where("low < high")
+            pairs = across_components(others.join(lists.select("key"), "key", "left_semi"), classes, texts, width, percent)
+        links.append(stored(confirmed(pairs, classes, texts, width, percent), "links"))
         labels = stored(components(reduce(DataFrame.unionByName, links)), "labels")
-    marked = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "least", F.coalesce("label", "cls").alias("label"))
+    marked = classes.join(labels, "node", "left").select("cls", "least", F.coalesce("label", "node").alias("label"))
     smallest = marked.groupBy("label").agg(F.min("least").alias("component_id"))
     place = marked.join(smallest, "label").select("cls", "component_id")
     out = rows.select("id", "cls", "n").join(place, "cls", "left")
