@@ -19,7 +19,7 @@ missed with probability 2e-7, a closer pair less often.
 Lists of many classes are not expanded into all pairs. In each of ``STARS`` rounds
 every list compares its members with one hub, and confirmed links merge components;
 then lists that still hold several components compare their members of different
-components, all of them, inside the list and without a row for each pair. Two members of one component need no comparison, so no
+components, all of them: short lists by rows, longer ones inside the list and without a row for each pair. Two members of one component need no comparison, so no
 link between components is lost.
 
 Texts without words and null texts have an empty set and are linked with nothing:
@@ -50,6 +50,8 @@ SIZE, MATCHES = 32, 13
 STARS = 2
 #: Rows of a list of texts (node, hash and id, 40 bytes each) that may be broadcast.
 BROADCAST = 500_000
+#: Members up to which a list gives pairs as rows, at most 28; longer ones are compared inside their list.
+SHORT_LIST = 8
 #: Shingles of one part of a list.
 PART = 1 << 19
 
@@ -213,8 +215,12 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id",
             hubs = posts.groupBy("key").agg(*(F.min(F.struct(rank(t).alias("rank"), "node")).alias(f"hub{t}") for t in range(STARS)))
             others = reduce(DataFrame.where, [F.col("node") != F.col(f"hub{t}.node") for t in range(STARS)], held.join(hubs, "key"))
             others = stored(others.select("key", "node", "n", "label"), "others")
-            lists = others.groupBy("key").agg(*several).where("low < high")
-            pairs = across_components(others.join(lists.select("key"), "key", "left_semi"), classes, texts, width, percent)
+            lists = others.groupBy("key").agg(*several, F.count("*").alias("held")).where("low < high")
+            left = stored(others.join(lists.select("key", "held"), "key"), "left")
+            short, long_ = left.where(F.col("held") <= SHORT_LIST).drop("held"), left.where(F.col("held") > SHORT_LIST).drop("held")
+            met = short.join(short.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other")), "key")
+            pairs = met.where("label <> other and node < b").where(_near_sizes("n", "m", percent)).select(F.col("node").alias("a"), "b").distinct()
+            pairs = pairs.unionByName(across_components(long_, classes, texts, width, percent)).distinct()
         links.append(stored(confirmed(pairs, classes, texts, width, percent), "links"))
         labels = stored(components(reduce(DataFrame.unionByName, links)), "labels")
     marked = classes.join(labels, "node", "left").select("cls", "least", F.coalesce("label", "node").alias("label"))
