@@ -85,10 +85,11 @@ class Model:
         """The embedding of each word: its own (zero if unknown) and the mean of its n-grams."""
         out = np.zeros((len(words), 2 * WIDTH), np.float32)
         out[:, :WIDTH] = self.weights["word"][[self.vocabulary.get(w, 0) for w in words]]
-        if words:
-            bucket, of, part = gram_means(words)
-            starts = np.searchsorted(of, np.arange(len(words)))
-            out[:, WIDTH:] = np.add.reduceat(self.weights["gram"][bucket] * part[:, None], starts, 0)
+        for at in range(0, len(words), 8192):
+            some = words[at:at + 8192]
+            bucket, of, part = gram_means(some)
+            starts = np.searchsorted(of, np.arange(len(some)))
+            out[at:at + 8192, WIDTH:] = np.add.reduceat(self.weights["gram"][bucket] * part[:, None], starts, 0)
         return out
 
     def gates(self, words: list[str]) -> np.ndarray:
@@ -203,17 +204,15 @@ def _blend(features: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 0, least_seen: int = 3) -> Model:
     rng = np.random.default_rng(seed)
-    split, y = [words_of(t) for t in texts], np.array(labels, np.float32)
+    y, number, coded = np.array(labels, np.float32), {PADDING: 0}, []
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, {}, (0.0, 0.0, 30.0 if share == 1 else -30.0))
-    seen: dict[str, int] = {}
-    for text in split:
-        for w in set(text):
-            seen[w] = seen.get(w, 0) + 1
-    everything = [PADDING, *sorted(seen)]
-    number = {w: i for i, w in enumerate(everything)}
-    vocabulary = {w: i + 1 for i, w in enumerate(w for w in sorted(seen) if seen[w] >= least_seen)}
+    for text in texts:
+        coded.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64))
+    everything = list(number)
+    seen = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=len(number))
+    vocabulary = {w: i + 1 for i, w in enumerate(w for w, n in zip(everything, seen) if n >= least_seen)}
     known = np.array([vocabulary.get(w, 0) for w in everything])
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     w = {"word": draw(len(vocabulary) + 1, WIDTH, scale=0.1), "gram": draw(BUCKETS, WIDTH, scale=0.3),
@@ -224,9 +223,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 0, l
          "out": draw(2 * HIDDEN, scale=0.3), "out_bias": np.zeros(1, np.float32)}
     w["word"][0] = 0
     model = Model(vocabulary, w, (1.0, 0.0, 0.0))
-    bucket, of, part = gram_means(everything)
-    starts = np.append(np.searchsorted(of, np.arange(len(everything))), len(of))
-    windows, lengths, owner = _windows([np.array([number[x] for x in t], np.int64) for t in split], 0)
+    windows, lengths, owner = _windows(coded, 0)
     first = np.searchsorted(owner, np.arange(len(y)))
     count = np.bincount(owner, minlength=len(y))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
@@ -246,12 +243,10 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 0, l
             longest = max(1, int(lengths[rows].max()))
             mask = (np.arange(longest)[:, None] < lengths[rows]).astype(np.float32)
             unique, place = np.unique(windows[rows, :longest].T, return_inverse=True)
-            n = starts[unique + 1] - starts[unique]
-            at = np.repeat(starts[unique] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            bucket, of, part = gram_means([everything[i] for i in unique])
             x = np.empty((len(unique), 2 * WIDTH), np.float32)
             x[:, :WIDTH] = w["word"][known[unique]]
-            edges = np.cumsum(n) - n
-            x[:, WIDTH:] = np.add.reduceat(w["gram"][bucket[at]] * part[at][:, None], edges, 0)
+            x[:, WIDTH:] = np.add.reduceat(w["gram"][bucket] * part[:, None], np.searchsorted(of, np.arange(len(unique))), 0)
             drop = (rng.random((len(unique), 1)) > 0.15).astype(np.float32)  # some words are judged by their letters alone
             x[:, :WIDTH] *= drop
             both = np.concatenate([w["in_f"], w["in_b"]], 1)
@@ -269,7 +264,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 0, l
             g["word"], g["gram"] = np.zeros_like(w["word"]), np.zeros_like(w["gram"])
             np.add.at(g["word"], known[unique], d_x[:, :WIDTH] * drop)
             g["word"][0] = 0
-            np.add.at(g["gram"], bucket[at], np.repeat(d_x[:, WIDTH:], n, 0) * part[at][:, None])
+            np.add.at(g["gram"], bucket, d_x[of, WIDTH:] * part[:, None])
             step += 1
             for k, grad in g.items():
                 a, b = moment[k]
