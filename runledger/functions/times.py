@@ -24,7 +24,7 @@ def _zone_seconds(zone: Column) -> Column:
     digits = F.rpad(F.substring(F.replace(zone, F.lit(":"), F.lit("")), 2, 6), 6, "0")
     size = (F.substring(digits, 1, 2).cast("int") * 3600 + F.substring(digits, 3, 2).cast("int") * 60
             + F.substring(digits, 5, 2).cast("int"))
-    return F.when(zone == "Z", 0).when(zone.startswith("-"), -size).otherwise(size)
+    return F.when(zone == "Z", 0).when(size >= 86_400, None).when(zone.startswith("-"), -size).otherwise(size)
 
 
 def offset_seconds(text: Column) -> Column:

@@ -56,8 +56,9 @@ def target_metrics(target: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def upsert(target: DataFrame, staged: DataFrame, key: str = KEY) -> DataFrame:
-    """The target after inserting new keys and replacing existing ones."""
-    return target.join(staged.select(key), key, "left_anti").select(*target.columns).unionByName(
+    """The target after inserting new keys and replacing existing ones; a null key replaces a null key."""
+    arriving = staged.select(F.col(key).alias("_arriving"))
+    return target.join(arriving, F.col(key).eqNullSafe(F.col("_arriving")), "left_anti").unionByName(
         staged.select(*target.columns))
 
 

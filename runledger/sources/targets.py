@@ -23,7 +23,12 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _count_path(path: str) -> str:
+    return f"{path.rstrip('/')}-buckets"
+
+
 def create_target(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    df.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(_count_path(path))
     (df.withColumn(BUCKET, bucket_of(F.col(key), buckets))
        .repartition(F.col(BUCKET))
        .write.mode("overwrite").partitionBy(BUCKET).parquet(path))
@@ -37,13 +42,18 @@ def upsert_target(path: str, staged: DataFrame, key: str, ddl: str, buckets: int
     """Insert new keys and replace existing ones, bucket by bucket.
 
     The touched buckets are read, merged and swapped in with dynamic partition
-    overwrite; the join on ``key_bucket`` prunes the scan to them.
+    overwrite; the join on ``key_bucket`` prunes the scan to them. Another bucket
+    count than the stored one is refused: keys would be looked for in wrong buckets.
     """
     spark = staged.sparkSession
+    stored = spark.read.parquet(_count_path(path)).first()["buckets"]
+    if stored != buckets:
+        raise ValueError(f"the target has {stored} buckets, not {buckets}")
     incoming = staged.withColumn(BUCKET, bucket_of(F.col(key), buckets))
     touched = incoming.select(BUCKET).distinct()
     current = read_target(spark, path, ddl).join(F.broadcast(touched), BUCKET, "left_semi")
-    kept = current.join(incoming.select(BUCKET, key), [BUCKET, key], "left_anti")
+    arriving = incoming.select(F.col(BUCKET).alias("_bucket"), F.col(key).alias("_key"))
+    kept = current.join(arriving, (F.col(BUCKET) == F.col("_bucket")) & F.col(key).eqNullSafe(F.col("_key")), "left_anti")
     merged = kept.unionByName(incoming)
     (merged.repartition(F.col(BUCKET))
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runledger.operators import transactions as X
 from runledger.plans.incremental_load import LoadPaths
@@ -14,19 +15,27 @@ def read_transaction_stream(spark: SparkSession, path: str, fmt: str = "parquet"
     return spark.readStream.format(fmt).schema(S.TRANSACTIONS_DDL).options(**options).load(path)
 
 
+TIE_BREAK = ("amount", "customer_id", "transaction_date")
+
+
 def load_batch(batch: DataFrame, batch_id: int, paths: LoadPaths) -> None:
     """Clean, stage, upsert newer versions and reconcile one micro-batch.
 
     Staging is keyed by batch id, so a replayed batch rewrites its own folder
     and the upsert repeats with the same outcome. A stored version newer than
-    the arriving one is kept: a stream may deliver out of order.
+    the arriving one is kept, equal times being settled as in a batch: a stream
+    may deliver out of order.
     """
     spark = batch.sparkSession
     cleaned = X.latest_per_key(X.business_rules(batch).select(*X.COLUMNS),
-                               tie_break=("amount", "customer_id", "transaction_date"))
-    current = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL).select(X.KEY, "updated_at")
-    stale = cleaned.alias("n").join(current.alias("o"), X.KEY).where("o.updated_at > n.updated_at").select(X.KEY)
-    staged = targets.rebuild(cleaned.join(stale, X.KEY, "left_anti").select(*X.COLUMNS), paths.staging(f"b{batch_id}"))
+                               tie_break=TIE_BREAK)
+    version = ("updated_at", *TIE_BREAK)
+    current = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL).select(
+        F.col(X.KEY).alias("stored_key"), F.struct(*version).alias("stored_version"))
+    stale = cleaned.join(current, F.col(X.KEY).eqNullSafe(F.col("stored_key"))).where(
+        F.col("stored_version") > F.struct(*version)).select("stored_key")
+    fresh = cleaned.join(stale, F.col(X.KEY).eqNullSafe(F.col("stored_key")), "left_anti")
+    staged = targets.rebuild(fresh.select(*X.COLUMNS), paths.staging(f"b{batch_id}"))
     targets.upsert_target(paths.target, staged, X.KEY, S.TRANSACTIONS_DDL, paths.buckets)
     target = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL)
     outcome = X.reconcile(X.metrics(staged), X.target_metrics(target, staged))
