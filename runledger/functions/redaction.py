@@ -65,14 +65,20 @@ def _apply(text: Column, rules) -> Column:
     return text
 
 
-def redact(text: Column, secrets: Iterable[str] = ()) -> Column:
-    """Redaction of text that is stored."""
-    return F.substring(_apply(_mask_known(text, secrets), _STORED_RULES), 1, V.STORED_TEXT_LIMIT)
+def _cut(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
 
 
-def safe_text(text: Column, secrets: Iterable[str] = ()) -> Column:
-    """Redaction of short evidence: first line only, bounded length."""
-    return F.substring(first_line(_apply(_mask_known(text, secrets), _EVIDENCE_RULES)), 1, V.EVIDENCE_TEXT_LIMIT)
+def redact(text: Column, secrets: Iterable[str] = (), limit: int | None = V.STORED_TEXT_LIMIT) -> Column:
+    """Redaction of text that is stored, of at most ``limit`` characters; None keeps the whole text."""
+    return _cut(_apply(_mask_known(text, secrets), _STORED_RULES), limit)
+
+
+def safe_text(text: Column, secrets: Iterable[str] = (), limit: int | None = V.EVIDENCE_TEXT_LIMIT,
+              all_lines: bool = False) -> Column:
+    """Redaction of short evidence: first line only unless ``all_lines``, at most ``limit`` characters unless None."""
+    safe = _apply(_mask_known(text, secrets), _EVIDENCE_RULES)
+    return _cut(safe if all_lines else first_line(safe), limit)
 
 
 def mask_log_secrets(text: Column, secrets: Iterable[str]) -> Column:

@@ -47,8 +47,9 @@ def run_load(spark: SparkSession, raw: DataFrame, paths: LoadPaths, watermark_pa
 
     Staging is written once and read by every later step. The upsert comes
     before reconciliation, so a mismatch leaves the target changed and the mark
-    unmoved; running the same load again is harmless. Only one-row results
-    reach the driver.
+    unmoved; running the same load again is harmless. Upsert and reconciliation
+    scan the touched buckets only. One-row results and the numbers of those
+    buckets reach the driver.
     """
     watermarks = read_watermarks(spark, watermark_path)
     gate = X.new_data_gate(raw, watermarks, pipeline).first()
@@ -56,7 +57,8 @@ def run_load(spark: SparkSession, raw: DataFrame, paths: LoadPaths, watermark_pa
         return {"status": "NO_NEW_DATA", "watermark_path": watermark_path}
     staged = targets.rebuild(X.clean(raw, stored_watermark(watermarks, pipeline)), paths.staging(load_id))
     targets.upsert_target(paths.target, staged, X.KEY, S.TRANSACTIONS_DDL, paths.buckets)
-    target = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL)
+    touched = targets.touched_buckets(staged, X.KEY, paths.buckets)
+    target = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL, touched)
     outcome = X.reconcile(X.metrics(staged), X.target_metrics(target, staged)).first().asDict()
     if outcome["status"] != "PASSED":
         return {**outcome, "watermark_path": watermark_path}

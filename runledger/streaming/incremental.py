@@ -27,17 +27,18 @@ def load_batch(batch: DataFrame, batch_id: int, paths: LoadPaths) -> None:
     may deliver out of order.
     """
     spark = batch.sparkSession
-    cleaned = X.latest_per_key(X.business_rules(batch).select(*X.COLUMNS),
-                               tie_break=TIE_BREAK)
+    cleaned = targets.rebuild(X.latest_per_key(X.business_rules(batch).select(*X.COLUMNS), tie_break=TIE_BREAK),
+                              paths.staging(f"b{batch_id}-arrived"))
+    touched = targets.touched_buckets(cleaned, X.KEY, paths.buckets)
     version = ("updated_at", *TIE_BREAK)
-    current = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL).select(
+    current = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL, touched).select(
         F.col(X.KEY).alias("stored_key"), F.struct(*version).alias("stored_version"))
     stale = cleaned.join(current, F.col(X.KEY).eqNullSafe(F.col("stored_key"))).where(
         F.col("stored_version") > F.struct(*version)).select("stored_key")
     fresh = cleaned.join(stale, F.col(X.KEY).eqNullSafe(F.col("stored_key")), "left_anti")
     staged = targets.rebuild(fresh.select(*X.COLUMNS), paths.staging(f"b{batch_id}"))
     targets.upsert_target(paths.target, staged, X.KEY, S.TRANSACTIONS_DDL, paths.buckets)
-    target = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL)
+    target = targets.read_target(spark, paths.target, S.TRANSACTIONS_DDL, touched)
     outcome = X.reconcile(X.metrics(staged), X.target_metrics(target, staged))
     outcome.write.mode("overwrite").parquet(f"{paths.root}/outcomes/batch_id={batch_id}")
 

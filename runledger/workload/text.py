@@ -35,21 +35,23 @@ _STORED = _sub(_STORED, r"(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*P
 _EVIDENCE = _sub(_common(_KNOWN), r"(?i)(\b(?:" + V.EVIDENCE_LABELS + r""")\b["'']?\s*[:=]\s*)""" + _VALUE, r"\1[REDACTED]")
 
 
-@query("redact_documents", f"""SELECT doc_id, md5(substring(r, 1, 4000)) AS redacted,
+@query("redact_documents", f"""SELECT doc_id, md5(r) AS redacted,
 CAST((length(r) - length(replace(r, '[REDACTED]', ''))) / 10 AS BIGINT) AS masks
 FROM (SELECT doc_id, {_STORED} AS r FROM documents)""")
 def redact_documents(spark, sf):
-    from runledger.functions import redaction as X
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    whole = X._apply(X._mask_known(F.col("text"), SECRETS), X._STORED_RULES)
-    return docs.select("doc_id", F.md5(redact(F.col("text"), SECRETS)).alias("redacted"),
-                       F.regexp_count(whole, F.lit(r"\[REDACTED\]")).cast("bigint").alias("masks"))
+    """Whole texts, without the limit of the record store."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", redact(F.col("text"), SECRETS, limit=None).alias("r"))
+    return docs.select("doc_id", F.md5("r").alias("redacted"),
+                       F.regexp_count("r", F.lit(r"\[REDACTED\]")).cast("bigint").alias("masks"))
 
 
-@query("safe_text_documents", f"""SELECT doc_id, substring(split_part(r, chr(10), 1), 1, 1000) AS evidence
+@query("safe_text_documents", f"""SELECT doc_id, substring(split_part(r, chr(10), 1), 1, 1000) AS evidence, md5(r) AS whole
 FROM (SELECT doc_id, {_EVIDENCE} AS r FROM documents)""")
 def safe_text_documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", safe_text(F.col("text"), SECRETS).alias("evidence"))
+    """The short evidence, and a digest of the whole text under the same rules."""
+    text = F.col("text")
+    return spark.read.parquet(f"{sf}/documents.parquet").select(
+        "doc_id", safe_text(text, SECRETS).alias("evidence"), F.md5(safe_text(text, SECRETS, limit=None, all_lines=True)).alias("whole"))
 
 
 @query("word_tokens", """SELECT doc_id, len(w) AS words, md5(array_to_string(list_sort(w), ' ')) AS digest FROM (

@@ -3,10 +3,13 @@
 import json
 import random
 import re
+from datetime import datetime
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from runledger.operators import evidence, runs, similarity
+from runledger.operators import evidence, logs, runs, similarity, verification
 from runledger.operators import transactions as X
 from runledger.plans.incremental_load import LoadPaths, create_pipeline, run_load
 from runledger.session import shared_dir
@@ -40,6 +43,70 @@ def test_load_is_idempotent_and_keys_unique(spark):
     assert run_load(spark, raw, paths, first["watermark_path"], "b", "p")["status"] == "NO_NEW_DATA"
 
 
+def _transactions(spark, *rows):
+    return spark.createDataFrame([(k, "C", Decimal(a), "COMPLETED", None, datetime(2024, 1, d)) for k, a, d in rows], schemas.TRANSACTIONS_DDL)
+
+
+def test_target_keeps_null_keys_once_and_its_bucket_count(spark):
+    paths = LoadPaths(shared_dir(spark, "t"), buckets=4)
+    mark = create_pipeline(spark, paths, "p", "2024-01-01 00:00:00")
+    raw = _transactions(spark, (None, "1.00", 2), (7, "2.00", 3))
+    for turn in "abc":
+        run_load(spark, raw, paths, mark, turn, "p")
+    assert targets.read_target(spark, paths.target, schemas.TRANSACTIONS_DDL).count() == 2
+    with pytest.raises(ValueError):
+        targets.upsert_target(paths.target, raw, X.KEY, schemas.TRANSACTIONS_DDL, 5)
+
+
+def test_load_that_fails_before_the_switch_changes_nothing(spark, monkeypatch):
+    paths = LoadPaths(shared_dir(spark, "t"), buckets=4)
+    mark = create_pipeline(spark, paths, "p", "2024-01-01 00:00:00", initial=_transactions(spark, *((k, "1.00", 1) for k in range(20))))
+    raw = _transactions(spark, (3, "9.00", 2), (99, "9.00", 2))
+    read = lambda *only: {r[X.KEY]: int(r["amount"]) for r in targets.read_target(spark, paths.target, schemas.TRANSACTIONS_DDL, *only).collect()}
+    before = read()
+    with monkeypatch.context() as broken:
+        broken.setattr(targets, "_switch", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            run_load(spark, raw, paths, mark, "a", "p")
+    assert read() == before == dict.fromkeys(range(20), 1)
+    assert run_load(spark, raw, paths, mark, "a", "p")["status"] == "PASSED"
+    assert read() == before | {3: 9, 99: 9}
+    touched = targets.touched_buckets(raw, X.KEY, 4)
+    part = targets.read_target(spark, paths.target, schemas.TRANSACTIONS_DDL, touched)
+    assert re.search(r"PartitionFilters: \[[^\]]*key_bucket", part._jdf.queryExecution().toString())
+    assert {3, 99} <= read(touched).keys() and read([]) == {}
+
+
+def test_repeated_verification_run_gives_one_row_each(spark):
+    requests = spark.sql("""SELECT * FROM VALUES ('d', 'old', 'new', CAST(NULL AS STRING), true, TIMESTAMP'2024-01-01 00:00:00'),
+      ('d', 'old2', 'new', NULL, true, TIMESTAMP'2024-01-01 00:00:00'), ('d', 'old3', 'new', NULL, true, TIMESTAMP'2024-01-01 01:00:00')
+      AS t(dag_id, original_dag_run_id, verification_dag_run_id, refusal, created, trigger_started_at)""")
+    seen = spark.sql("SELECT 'd' AS dag_id, 'new' AS dag_run_id, TIMESTAMP'2024-01-01 00:00:30' AS observed_at, 'success' AS state")
+    tasks = spark.createDataFrame([("d", "new", "a", "success", 1, -1)], "dag_id string, dag_run_id string, task_id string, state string, try_number int, map_index int")
+    got = sorted((r["original_dag_run_id"], r["verification_status"]) for r in verification.rerun_outcomes(requests, seen, tasks, ["a"]).collect())
+    assert got == [("old", "VERIFIED_HEALTHY"), ("old2", "VERIFIED_HEALTHY"), ("old3", "TIMEOUT")]
+
+
+def test_no_decision_is_lost_by_its_stated_time(spark):
+    base = shared_dir(spark, "decisions")
+    ddl = "approval_id string, seq bigint, command string, reviewer string, decided_at string"
+    for row in (("z", 1, "approve", "ann", "2024-01-01T12:00:00+00:00"), ("a", 2, "reject", "bob", "2024-01-01T10:00:00+00:00"),
+                ("z", 3, "reject", "eve", "2024-01-01T09:00:00+00:00"), ("b", 4, "approve", "ann", "2024-01-01T08:00:00+00:00")):
+        spark.createDataFrame([row], ddl).coalesce(1).write.mode("append").parquet(base + "/in")
+    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    watch.approval_life(source).writeStream.format("parquet").option("checkpointLocation", base + "/c").trigger(
+        availableNow=True).start(base + "/out").awaitTermination()
+    assert sorted((r["approval_id"], r["status"]) for r in spark.read.parquet(base + "/out").collect()) == [
+        ("a", "REJECTED"), ("b", "APPROVED"), ("b", "EXPIRED"), ("z", "APPROVED")]
+
+
+def test_bad_attempt_numbers_go_to_quarantine(spark):
+    rows = [("d", "r", "t", "failed", n, -1) for n in (0, 1, None)]
+    ti = spark.createDataFrame(rows, "dag_id string, dag_run_id string, task_id string, state string, try_number int, map_index int")
+    assert logs.failed_attempts(ti).count() == 1
+    assert {r["try_number"] for r in logs.unaddressable_attempts(ti).collect()} == {0, None}
+
+
 def test_hot_key_keeps_one_row(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 1000, 1).otherwise(F.col("id")).alias("transaction_id"),
                                     F.timestamp_seconds("id").alias("updated_at"))
