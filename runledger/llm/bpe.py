@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.bytepairs import NEVER, Vocabulary, vocabulary
-from runledger.llm.common import chunks, worker_cache
+from runledger.llm.common import chunks, drop_worker_caches, worker_cache
 from runledger.llm.token_counts import merge
 
 #: Pre-tokens a worker remembers.
@@ -138,6 +138,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     slim = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
 
     def run(batches):
+        drop_worker_caches("vocabularies", f"encoder:{path}")
         coder = encoder(path)
         for batch in chunks(batches, "_text"):
             found = coder.encode(batch.column("_text").to_pylist())

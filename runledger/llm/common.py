@@ -43,6 +43,13 @@ def worker_cache(name: str, make: Callable):
     return getattr(home, name)
 
 
+def drop_worker_caches(*keep: str) -> None:
+    """Forget what earlier operators left in this Python worker, but for the values named; workers are reused between jobs."""
+    home = sys.modules.get("_runledger_worker")
+    for name in [n for n in vars(home or types) if home and not n.startswith("__") and n not in keep]:
+        delattr(home, name)
+
+
 def sizes(values: pa.Array) -> pa.Array:
     """Bytes of each string, 4 for each element of a list, 0 for null."""
     listed = pa.types.is_list(values.type)
