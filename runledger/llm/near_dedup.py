@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runledger.llm.common import chunks, stored
+from runledger.llm.common import chunks, drop_worker_caches, give_back, stored
 from runledger.llm.components import components
 from runledger.llm.shingles import minima, shingle_sets
 
@@ -67,12 +67,14 @@ def _class(shingles) -> bytes | None:
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """``id``, ``cls`` (which set it is, null if empty), ``n`` (its size) and ``sig`` of each text."""
     def run(batches):
+        drop_worker_caches()
         for batch in chunks(batches, "text"):
             sets = shingle_sets(_bytes(batch.column("text")), width)
             sig = iter(minima(sets, SIZE).view("int64").tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([_class(s) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()),
                  pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["id", "cls", "n", "sig"])
+        give_back()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(run, f"id {kind}, cls binary, n long, sig array<long>")
@@ -87,6 +89,7 @@ def full_sets(holders: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node").filter(pa.array(same, pa.bool_())),
                  pa.array([s.view("int64") for s, ok in zip(sets, same) if ok], pa.list_(pa.int64()))], ["node", "shingles"])
+        give_back()
 
     return holders.select("node", "cls", "text").mapInArrow(run, "node long, shingles array<long>")
 
@@ -187,6 +190,7 @@ def across_components(held: DataFrame, classes: DataFrame, texts: DataFrame, wid
                 found = near_in_list(key, batch.column("items").slice(i, 1).flatten(), percent, low != high)
                 columns = zip(*found) if found else ([], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+        give_back()
 
     return grouped.mapInArrow(run, "a long, b long").distinct()
 

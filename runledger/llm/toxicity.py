@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runledger.llm.common import chunks, worker_cache
+from runledger.llm.common import chunks, give_back, worker_cache
 
 #: Words of a window and from one to the next.
 WINDOW, STRIDE = 64, 48
@@ -38,7 +38,7 @@ SAMPLE, LONGEST = 2000, 20_000
 #: Sizes: word and n-gram embeddings, n-gram buckets, hidden units of a direction, attention units.
 WIDTH, BUCKETS, HIDDEN, ATTENTION = 12, 1 << 14, 12, 8
 #: Words a worker remembers, windows scored at once.
-KEPT_WORDS, AT_ONCE = 200_000, 2048
+KEPT_WORDS, AT_ONCE = 200_000, 1024
 GRAMS = (3, 4, 5, 6)
 #: Stands where a window has no word; never a word itself, and masked.
 PADDING = "#"
@@ -338,9 +338,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         home = worker_cache("toxicity", dict)
         if home.get("blend") != model.blend:
             home.update(blend=model.blend, scorer=Scorer(model))
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", 1 << 20):
             found = home["scorer"](batch.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], wanted)
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
     return slim.mapInArrow(run, f"{kinds}, `{name}` double")
