@@ -15,6 +15,8 @@ from runledger.llm.common import stored, table, tuned
 from runledger.llm.queries import vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Pre-tokens a worker remembers while encoding; its executor has held the shuffles of the stages before.
+KEPT_WORDS = 300_000
 #: Scores from here on reject a document.
 TOXIC = 0.5
 
@@ -48,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``ids`` of each document of the mix."""
     tuned(spark)
-    return bpe.encode(docs, vocabulary_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.encode(docs, vocabulary_path(), kept=KEPT_WORDS).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("mix", mix_sources), ("encode", encode)]

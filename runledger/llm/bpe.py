@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.llm.bytepairs import NEVER, Vocabulary, vocabulary
-from runledger.llm.common import chunks, drop_worker_caches, worker_cache
+from runledger.llm.common import chunks, drop_worker_caches, give_back, worker_cache
 from runledger.llm.token_counts import merge
 
-#: Pre-tokens a worker remembers.
-KEPT_WORDS = 1_000_000
+#: Pre-tokens a worker remembers, about 300 bytes each, and bytes of text it encodes at once.
+KEPT_WORDS, AT_ONCE = 1_000_000, 1 << 20
 
 
 def separable(vocab: Vocabulary, left: np.ndarray, right: np.ndarray, joined: bool = False) -> np.ndarray:
@@ -56,8 +56,8 @@ def separable(vocab: Vocabulary, left: np.ndarray, right: np.ndarray, joined: bo
 class Encoder:
     """Encodings of pre-tokens, kept as one growing ragged array."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+    def __init__(self, vocab: Vocabulary, kept: int = KEPT_WORDS):
+        self.vocab, self.kept = vocab, kept
         made = np.flatnonzero(vocab.rank >= 0)
         whole = np.ones(vocab.size, bool)
         whole[made] = separable(vocab, vocab.left[made], vocab.right[made], joined=True)
@@ -112,7 +112,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [list(self.vocab.words(text or "")) for text in texts]
-        if len(self.index) > KEPT_WORDS:
+        if len(self.index) > self.kept:
             self.clear()
         self.learn(set().union(*(part for parts in split for part in parts)))
         start, out = np.cumsum(self.length) - self.length, []
@@ -133,18 +133,23 @@ def encoder(path: str) -> Encoder:
     return worker_cache(f"encoder:{path}", lambda: Encoder(vocabulary(path)))
 
 
-def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``ids``, the token ids of each whole text, under the vocabulary file at ``path``."""
+def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", kept: int = KEPT_WORDS) -> DataFrame:
+    """``id`` and ``ids``, the token ids of each whole text, under the vocabulary file at ``path``.
+
+    A worker forgets its pre-tokens beyond ``kept``: fewer take less memory and more time, the ids are the same.
+    """
     slim = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
 
     def run(batches):
         drop_worker_caches("vocabularies", f"encoder:{path}")
         coder = encoder(path)
-        for batch in chunks(batches, "_text"):
+        coder.kept = kept
+        for batch in chunks(batches, "_text", AT_ONCE):
             found = coder.encode(batch.column("_text").to_pylist())
             ends = np.cumsum([0, *map(len, found)])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), ids], ["_id", "ids"])
+        give_back()
 
     kind = slim.schema["_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id)

@@ -228,6 +228,8 @@ def test_tokens_match_the_library(spark, odd):
         want = library.encode(t or "", add_special_tokens=False).ids
         assert both[i].ids == want and both[i].decoded == library.decode(want, skip_special_tokens=False)
         assert (counted[i].n_tokens, counted[i].n_bytes) == (len(want), len((t or "").encode()))
+    few = {r.doc_id: r.ids for r in bpe.encode(docs.repartition(1), path, kept=10).collect()}
+    assert few == {i: r.ids for i, r in both.items()}
     assert bpe.encode(odd, path).count() == len(ODD) + 1 == token_counts.count_tokens(odd, path).count()
 
 
