@@ -81,9 +81,14 @@ def safe_text(text: Column, secrets: Iterable[str] = (), limit: int | None = V.E
     return _cut(safe if all_lines else first_line(safe), limit)
 
 
-def mask_log_secrets(text: Column, secrets: Iterable[str]) -> Column:
-    """Mask given values in log text, both plain and in JSON-escaped form."""
+def mask_log_secrets(text: Column, secrets: Iterable[str], border: str | None = None) -> Column:
+    """Mask given values in log text, both plain and in JSON-escaped form.
+
+    ``border`` may stand for one line break of a value; it is kept, behind the mask.
+    """
     for secret in (s for s in secrets if s):
+        for at in (i for i, c in enumerate(secret) if border and c == "\n"):
+            text = F.replace(text, F.lit(secret[:at] + border + secret[at + 1:]), F.lit(V.MASK + border))
         text = F.replace(text, F.lit(secret), F.lit(V.MASK))
         text = F.replace(text, F.lit(json.dumps(secret)[1:-1]), F.lit(V.MASK))
     return text

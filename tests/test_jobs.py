@@ -107,6 +107,20 @@ def test_bad_attempt_numbers_go_to_quarantine(spark):
     assert {r["try_number"] for r in logs.unaddressable_attempts(ti).collect()} == {0, None}
 
 
+@pytest.mark.parametrize("shift", range(6))
+def test_secret_over_the_border_of_two_parts_is_masked(spark, shift):
+    secrets = ["key-1\nkey-2\nkey-3", "plum"]
+    body = ["x"] * shift + ["a key-1", "key-2", "key-3 z", None, "\uffff1 plum", "end"]
+    rows = [("d", "r", "t", 1, -1, i, line) for i, line in enumerate(body)]
+    lines = spark.createDataFrame(rows, "dag_id string, dag_run_id string, task_id string, try_number int, map_index int, seq long, line string")
+    parts = logs.assemble_logs(lines, secrets, part_lines=6).orderBy("part").collect()
+    assert [p["lines"] for p in parts] == [6, shift][:1 + (shift > 0)]
+    want = "\n".join(x or "" for x in body).replace(secrets[0], "[REDACTED]").replace("plum", "[REDACTED]")
+    found = "\n".join(p.log_text for p in parts)
+    # Where the border cuts the secret, the mask ends one part and the rest begins the next.
+    assert found == (want.replace("[REDACTED] z", "[REDACTED]\n z") if shift in (4, 5) else want)
+
+
 def test_hot_key_keeps_one_row(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 1000, 1).otherwise(F.col("id")).alias("transaction_id"),
                                     F.timestamp_seconds("id").alias("updated_at"))
