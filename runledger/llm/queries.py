@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runledger.llm import bpe, chat, exact_topk, graph_search, mixing, near_dedup, sharding, token_counts, toxicity, warc
+from runledger.llm import (
+    bpe, chat, exact_topk, fill_middle, graph_search, importance, mixing, near_dedup, oracles, sharding, simhash, token_counts, toxicity, warc,
+)
 from runledger.llm.common import table
 
-QUERIES, ORACLES = {}, {}
+QUERIES = {}
+ORACLES = {"op12_importance_resampling": oracles.IMPORTANCE, "op13_fill_middle": oracles.FILL_MIDDLE}
 
 
 def vocabulary_path() -> str:
@@ -81,3 +84,20 @@ def op9_warc_packages(spark, sf):
 @query
 def op10_segment_topk(spark, sf):
     return exact_topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@query
+def op11_simhash_near_dedup(spark, sf):
+    return simhash.link(table(spark, sf, "documents"))
+
+
+@query
+def op12_importance_resampling(spark, sf):
+    return importance.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_fill_middle(spark, sf):
+    made = fill_middle.transform(table(spark, sf, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
