@@ -66,8 +66,7 @@ ATTEMPT_DDL = (
     f"playbook STRING, proposal STRUCT<{PROPOSAL_DDL}>, policy STRUCT<{POLICY_DDL}>, "
     f"approval STRUCT<{APPROVAL_DDL}>, "
     "execution STRUCT<playbook: STRING, status: STRING, dag_id: STRING, task_id: STRING, "
-    "changes: ARRAY<STRUCT<target: STRING, before: MAP<STRING,BOOLEAN>, after: MAP<STRING,BOOLEAN>>>, "
-    "message: STRING>, final_state STRING, repair_verified BOOLEAN, error STRING")
+    "changes: VARIANT, message: STRING>, final_state STRING, repair_verified BOOLEAN, error STRING")
 VERIFICATION_DDL = (
     "original_dag_run_id STRING, verification_dag_run_id STRING, dag_id STRING, trigger_status STRING, "
     "dag_run_state STRING, task_states MAP<STRING,STRING>, repair_verified BOOLEAN, "

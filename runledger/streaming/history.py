@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runledger.operators.incidents import parse_incidents, redact_incidents
-from runledger.operators.verification import canonical_json
+from runledger.sources.incident_store import stored_rules
 
 
 def append_batch(batch: DataFrame, batch_id: int, json_column: str, path: str, secrets: Iterable[str] = (),
@@ -17,10 +17,7 @@ def append_batch(batch: DataFrame, batch_id: int, json_column: str, path: str, s
     judged = f"{path}/judged/batch_id={batch_id}"
     parse_incidents(batch, json_column, **rules).select("incident", "reject_reason").write.mode("overwrite").parquet(judged)
     parsed = batch.sparkSession.read.parquet(judged)
-    change = rules.pop("expected_change", None)
-    if change is not None:
-        rules["expected_changes"] = F.concat(F.lit("["), canonical_json(F.lit(change)), F.lit("]"))
-    kept = redact_incidents(parsed.where("reject_reason IS NULL").drop("reject_reason"), secrets, **rules)
+    kept = redact_incidents(parsed.where("reject_reason IS NULL").drop("reject_reason"), secrets, **stored_rules(rules))
     good = kept.where("reject_reason IS NULL").select("incident")
     bad = (parsed.where("reject_reason IS NOT NULL").select("reject_reason")
            .unionByName(kept.where("reject_reason IS NOT NULL").select("reject_reason")))

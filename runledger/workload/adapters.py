@@ -91,6 +91,15 @@ SELECT 'dag_' || (o.o_custkey % 20) AS dag_id, 'run_' || e.user_id AS dag_run_id
        min(CAST(e.ts AS TIMESTAMP)) AS trigger_started_at
 FROM {events} e JOIN {orders} o ON o.o_orderkey = e.user_id GROUP BY 1, 2, 3"""
 
+# The tasks of triggered runs, read around the deadline: some before the run has settled, some too late.
+VIEWS["task_reads"] = """
+SELECT 'dag_' || (o.o_custkey % 20) AS dag_id, 'run_' || l.l_orderkey AS dag_run_id, 'task_' || l.l_linenumber AS task_id,
+       CASE WHEN l.l_linenumber > 5 AND l.l_returnflag = 'A' THEN 'failed' ELSE 'success' END AS state,
+       CASE WHEN l.l_orderkey % 29 = 0 THEN 3 ELSE -1 END AS map_index,
+       t.started + (l.l_orderkey % 4) * INTERVAL '8' HOUR + l.l_linenumber * INTERVAL '1' MINUTE AS read_at
+FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey
+JOIN (SELECT user_id, min(CAST(ts AS TIMESTAMP)) AS started FROM {events} GROUP BY user_id) t ON t.user_id = l.l_orderkey"""
+
 _FRAME = """'{{"filename":"' || {f} || '","lineno":' || (event_id % 90) || ',"name":"step_' || (event_id % 6) || '"}}'"""
 
 
