@@ -278,12 +278,100 @@ EXPECTED_CHANGE = '{"target": "config/input.json", "before": {"fail": true}, "af
 INCIDENT_RULES = {"playbooks": ("restore_input",), "required": REQUIRED_TASKS}
 
 
+# --- inputs of the incident workflow: one incident for each failed task attempt ---------
+
+_FAILED_ITEM = "l.l_returnflag = 'A' AND l.l_linestatus = 'F' AND l.l_linenumber >= 2"
+VIEWS["attempt_keys"] = f"""
+SELECT DISTINCT l.l_orderkey AS okey, o.o_custkey % 20 AS dag_no, l.l_linenumber AS task_no, 'dag_' || (o.o_custkey % 20) AS dag_id,
+       'run_' || l.l_orderkey AS dag_run_id, 'task_' || l.l_linenumber AS task_id,
+       'dag_' || (o.o_custkey % 20) || '/run_' || l.l_orderkey || '/task_' || l.l_linenumber || '/1/-1' AS incident_id
+FROM {{lineitem}} l JOIN {{orders}} o ON o.o_orderkey = l.l_orderkey WHERE {_FAILED_ITEM}"""
+
+# Three lines of each attempt: plain text with secrets, a library's warning or progress, then mostly the failure itself.
+_TYPES = [text(x) for x in ("ValueError", "KeyError", "TimeoutError", "IOError")]
+_LINES = ("'started token=' || okey || ' plum'",
+          """CASE okey % 3 WHEN 0 THEN '{{"event":"progress"}}' ELSE '{{"timestamp":"t1","event":"warning","error_detail":[{{"exc_type":"LibError","exc_value":"early '
+   || okey || '","frames":[{{"filename":"/usr/lib/site-packages/lib.py","lineno":7,"name":"call"}}]}}]}}' END""",
+          """CASE okey % 11 WHEN 0 THEN 'gave up' ELSE '{{"timestamp":"t2","event":"Task failed with exception","error_detail":{{"exc_type":"Wrapper","exc_value":"outer","frames":[],"exceptions":[{{"exc_type":"'
+   || """ + pick("okey", _TYPES) + """ || '","exc_value":"Input ' || (okey % 5) || ' lost password=p' || okey || '","frames":[{{"filename":"dags/flow.py","lineno":' || (okey % 90) || ',"name":"step"}}]}}]}}}}' END""")
+VIEWS["attempt_lines"] = "\nUNION ALL ".join(
+    f"SELECT dag_id, dag_run_id, task_id, 1 AS try_number, -1 AS map_index, CAST({n} AS BIGINT) AS seq, {line} AS line FROM {{attempt_keys}}"
+    for n, line in enumerate(_LINES))
+
+# What a playbook sets is a boolean, a number or a text.
+_BEFORE, _AFTER = (pick("task_no", [text(x) for x in values]) for values in (
+    ('{{"on": true}}', '{{"retries": 3}}', '{{"mode": "slow"}}'), ('{{"on": false}}', '{{"retries": 5}}', '{{"mode": "fast"}}')))
+VIEWS["known_playbooks"] = f"""
+SELECT DISTINCT 'set_' || dag_no || '_' || task_no || '_' || type_no AS playbook, 'dag_' || dag_no AS dag_id, 'task_' || task_no AS task_id,
+       {pick("type_no", _TYPES)} AS exception_type, CASE WHEN dag_no % 2 = 0 THEN 'Input ' ELSE 'Input 0' END AS message_prefix,
+       'config/' || dag_no || '_' || task_no || '.json' AS target, 'Set the input of ' || dag_no || '_' || task_no || '.' AS proposed_action,
+       'Input of ' || dag_no || '_' || task_no || ' is lost.' AS incident_summary, 'The failure matches the known signature.' AS reason,
+       'medium' AS risk_level, array('Confirm the saved value is in place.', 'A later approved run must succeed.') AS validation_steps,
+       'A human can put the former value back.' AS rollback_plan,
+       '{{{{"target": "config/' || dag_no || '_' || task_no || '.json", "before": ' || {_BEFORE} || ', "after": ' || {_AFTER} || '}}}}' AS expected_change
+FROM (SELECT c_custkey % 20 AS dag_no, 1 + CAST(floor(c_custkey / 20) AS BIGINT) % 7 AS task_no, CAST(floor(c_custkey / 140) AS BIGINT) % 4 AS type_no FROM {{customer}}) c"""
+
+# Six of ten runs are answered by a sound investigation, the others by the mixed proposals above.
+VIEWS["answers"] = f"""
+SELECT p.okey, '{{{{"choices":[{{{{"finish_reason":"' || (CASE p.okey % 31 WHEN 0 THEN 'length' ELSE 'stop' END)
+       || '","message":{{{{"content":"{{{{\\"summary\\":\\"Late input\\",\\"root_cause\\":\\"Upstream\\",\\"evidence\\":[],\\"recommended_action\\":\\"Look\\",\\"risk_level\\":\\"low\\",\\"confidence\\":'
+       || (CASE p.okey % 29 WHEN 0 THEN '2' ELSE '0.5' END) || ',\\"requires_human_approval\\":true}}}}"}}}}}}}}]}}}}' AS rca_response,
+       CASE WHEN p.okey % 10 < 6 THEN '{{{{"incident_summary":"Run ' || p.okey || ' failed","proposed_action":"Look at the feed layout","action_type":"investigation","target":"feed","reason":"It is late",'
+         || '"risk_level":"low","confidence":0.8,"requires_human_approval":true,"validation_steps":["Check that every column arrives."],"rollback_plan":"{NO_CHANGE}"}}}}'
+       ELSE p.response END AS proposal_response
+FROM {{proposal_json}} p"""
+
+VIEWS["responses"] = """
+SELECT k.incident_id, a.rca_response, a.proposal_response
+FROM {attempt_keys} k JOIN {answers} a ON a.okey = k.okey WHERE k.okey % 101 <> 0"""
+
+VIEWS["workflow_decisions"] = """
+SELECT 'ap_' || k.incident_id AS approval_id, d.seq, d.command, d.reviewer, d.decided_at
+FROM {decisions} d JOIN {attempt_keys} k ON d.approval_id = 'ap_' || k.okey
+UNION ALL SELECT 'pb_' || incident_id AS approval_id, 1 AS seq, CASE okey % 7 WHEN 0 THEN 'reject' ELSE 'approve' END AS command, 'ann' AS reviewer,
+  '2024-03-01T11:10:00+00:00' AS decided_at FROM {attempt_keys} WHERE okey % 11 <> 5"""
+
+VIEWS["workflow_executions"] = """
+SELECT incident_id, CASE okey % 47 WHEN 0 THEN ' ' ELSE 'ex_' || incident_id END AS execution_id,
+       CASE okey % 37 WHEN 0 THEN 'rerun_task' ELSE 'read_only_investigation' END AS operation,
+       CASE okey % 41 WHEN 0 THEN '2024-03-01T09:59:00+00:00' ELSE '2024-03-01T11:00:00+00:00' END AS started_at,
+       '2024-03-01T11:00:05Z' AS completed_at
+FROM {attempt_keys} WHERE okey % 13 <> 0"""
+
+VIEWS["playbook_runs"] = f"""
+SELECT incident_id, CASE CAST(floor(okey / 5) AS BIGINT) % 7 WHEN 0 THEN CAST('2024-03-01 11:40:00' AS TIMESTAMP) ELSE CAST('2024-03-01 11:20:00' AS TIMESTAMP) END AS run_at,
+       CASE okey % 9 WHEN 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+       '[{{{{"after": ' || (CASE WHEN okey % 19 = 0 THEN '{{{{"on": 1}}}}' ELSE {_AFTER} END) || ', "before": ' || {_BEFORE} || ', "target": "config/' || dag_no || '_' || task_no || '.json"}}}}]' AS changes,
+       'done with password=q' || okey AS message
+FROM {{attempt_keys}} WHERE okey % 17 <> 0"""
+
+VIEWS["reruns"] = """
+SELECT incident_id, CASE okey % 6 WHEN 5 THEN dag_run_id ELSE 'manual__reliability_' || okey || '_' || task_no END AS verification_run_id,
+       CAST('2024-03-01 11:22:00' AS TIMESTAMP) AS requested_at, CAST('2024-03-01 11:23:00' AS TIMESTAMP) AS trigger_started_at,
+       okey % 8 <> 3 AS created, dag_id, okey
+FROM {attempt_keys} WHERE okey % 4 <> 1"""
+
+VIEWS["rerun_observations"] = """
+SELECT dag_id, verification_run_id AS dag_run_id, CAST('2024-03-01 11:23:10' AS TIMESTAMP) AS observed_at, 'running' AS state FROM {reruns}
+UNION ALL SELECT dag_id, verification_run_id AS dag_run_id,
+  CASE okey % 12 WHEN 0 THEN CAST('2024-03-01 11:25:00' AS TIMESTAMP) ELSE CAST('2024-03-01 11:23:40' AS TIMESTAMP) END AS observed_at,
+  CASE okey % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'restarting' ELSE 'success' END AS state FROM {reruns}"""
+
+VIEWS["rerun_tasks"] = """
+SELECT dag_id, verification_run_id AS dag_run_id, 'task_1' AS task_id, 'success' AS state, 1 AS try_number, requested_at AS start_date,
+       CAST(NULL AS TIMESTAMP) AS end_date, -1 AS map_index, CAST('2024-03-01 11:23:50' AS TIMESTAMP) AS read_at FROM {reruns}
+UNION ALL SELECT dag_id, verification_run_id AS dag_run_id, 'task_2' AS task_id, CASE okey % 14 WHEN 0 THEN 'failed' ELSE 'success' END AS state, 1 AS try_number,
+       requested_at AS start_date, CAST(NULL AS TIMESTAMP) AS end_date, CASE okey % 15 WHEN 0 THEN 2 ELSE -1 END AS map_index,
+       CASE okey % 18 WHEN 0 THEN CAST('2024-03-01 11:25:10' AS TIMESTAMP) ELSE CAST('2024-03-01 11:24:00' AS TIMESTAMP) END AS read_at FROM {reruns}"""
+
+
 def tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    return {n: view(spark, sf_dir, n) if n in VIEWS else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
 def needed(template: str) -> list[str]:
-    return sorted({n for n in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", template) if n in BASE_TABLES})
+    """Tables and views that a view reads."""
+    return sorted({n for n in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", template) if n in BASE_TABLES or n in VIEWS})
 
 
 # Views whose rows cost much CPU downstream; a single small file would keep
@@ -302,9 +390,18 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cte(*names: str) -> str:
-    """The derived tables as a ``WITH`` clause for the checking engine."""
+    """The derived tables, and those they read, as a ``WITH`` clause for the checking engine."""
     def rendered(name):
-        return VIEWS[name].format(**{t: t for t in BASE_TABLES}).replace("array(", "list_value(")
+        return VIEWS[name].format(**{t: t for t in (*BASE_TABLES, *VIEWS)}).replace("array(", "list_value(")
 
-    parts = [f"{n} AS ({rendered(n)})" for n in names]
+    def with_inputs(name):
+        return [x for n in needed(VIEWS[name]) if n in VIEWS for x in with_inputs(n)] + [name]
+
+    parts = [f"{n} AS ({rendered(n)})" for n in dict.fromkeys(x for name in names for x in with_inputs(name))]
     return "WITH " + ",\n".join(parts)
+
+
+def laid(df: DataFrame, path: str) -> str:
+    """Write a derived table where the library's readers find it."""
+    df.write.parquet(path)
+    return path

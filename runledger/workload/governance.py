@@ -54,19 +54,21 @@ def _steps_ok(j: str, name: str) -> str:
 _RCA_KEYS = V.RCA_TEXT_FIELDS + ("evidence", "risk_level", "confidence", "requires_human_approval")
 
 
-@query("rca_validation", f"""{cte("rca_json")},
-c AS (SELECT okey, CASE WHEN response->>'$.choices[0].finish_reason' = 'stop' THEN response->>'$.choices[0].message.content' END AS t FROM rca_json),
-p AS (SELECT okey, {_JSON.format(c="t")} AS j FROM c),
-r AS (SELECT okey, j, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'not_an_object'
+_RCA = f"""rca_text AS (SELECT okey, CASE WHEN response->>'$.choices[0].finish_reason' = 'stop' THEN response->>'$.choices[0].message.content' END AS t FROM rca_json),
+rca_read AS (SELECT okey, {_JSON.format(c="t")} AS j FROM rca_text),
+rca_judged AS (SELECT okey, j, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'not_an_object'
   WHEN NOT {_keys_ok("j", _RCA_KEYS)} THEN 'wrong_fields'
   WHEN NOT ({_text_ok("j", V.RCA_TEXT_FIELDS)}) THEN 'blank_text'
   WHEN NOT ({_steps_ok("j", "evidence")}) THEN 'bad_evidence'
   WHEN j->>'$.risk_level' NOT IN {_in(V.LEVELS)} THEN 'bad_risk_level'
   WHEN NOT ({_NUMBER.format(j="j")} AND TRY_CAST(j->>'$.confidence' AS DOUBLE) BETWEEN 0 AND 1) THEN 'bad_confidence'
-  WHEN json_type(j, '$.requires_human_approval') <> 'BOOLEAN' OR j->>'$.requires_human_approval' <> 'true' THEN 'approval_not_required' END AS reject_reason FROM p)
+  WHEN json_type(j, '$.requires_human_approval') <> 'BOOLEAN' OR j->>'$.requires_human_approval' <> 'true' THEN 'approval_not_required' END AS reject_reason FROM rca_read)"""
+
+
+@query("rca_validation", f"""{cte("rca_json")}, {_RCA}
 SELECT okey, reject_reason, CASE WHEN reject_reason IS NULL THEN j->>'$.root_cause' END AS root_cause,
 CASE WHEN reject_reason IS NULL THEN regexp_replace(array_to_string(CAST(json_extract_string(j, '$.evidence[*]') AS VARCHAR[]), '|'),
- '(password=)[^\\s,;]+', '\\1[REDACTED]', 'g') END AS evidence FROM r""")
+ '(password=)[^\\s,;]+', '\\1[REDACTED]', 'g') END AS evidence FROM rca_judged""")
 def rca_validation(spark, sf):
     judged = PR.validate_rca(view(spark, sf, "rca_json"), "response", enveloped=True)
     return judged.select("okey", "reject_reason", "rca.root_cause", F.array_join("rca.evidence", "|").alias("evidence"))
