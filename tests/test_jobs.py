@@ -171,8 +171,8 @@ def test_similarity_equals_brute_force(spark):
                 scored.append((round(score, 4), q))
         scored.sort(key=lambda x: -x[0])
         want |= {(i, n + 1, q, s) for n, (s, q) in enumerate(scored[:5])}
-    for rare_df in (4, 64):
-        got = {(r["context_id"], r["rank"], r["seq"], r["match_score"]) for r in similarity.find_similar(c, h, 5, rare_df).collect()}
+    for part in (1, 7, 4096):
+        got = {(r["context_id"], r["rank"], r["seq"], r["match_score"]) for r in similarity.find_similar(c, h, 5, part).collect()}
         assert got == want
 
 
