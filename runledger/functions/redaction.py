@@ -16,18 +16,25 @@ from pyspark.sql import types as T
 from runledger import fixed_values as V
 from runledger.functions.text import BOUNDARY, SPACE, WORD, first_line, let
 
-_TOKEN = "[A-Za-z0-9_-]"
 _START = rf"(?<![{WORD}])"  # a boundary before a word character
-_JWT = rf"{_START}eyJ{_TOKEN}*\.{_TOKEN}+\.{_TOKEN}+"
-_BEARER = rf"(?iU){_START}bearer[{SPACE}]+[^{SPACE}]+"
-_URL_LOGIN = rf"(?U)(://)[^{SPACE}/@]+:[^{SPACE}/@]+@"
-_VALUE = rf"""("[^"\n]*"|'[^'\n]*'|[^{SPACE},;]+)"""
-_VENDOR_KEY = rf"{_START}(?:{V.VENDOR_KEY_PREFIXES}){_TOKEN}+{BOUNDARY}"
-_STORED_LABEL = (rf"""(?iU)({BOUNDARY}[{WORD}-]*(?:{V.STORED_LABELS})[{WORD}-]*{BOUNDARY}"""
-                 rf"""["']?[{SPACE}]*[:=][{SPACE}]*){_VALUE}""")
-_EVIDENCE_LABEL = (rf"""(?iU)({_START}(?:{V.EVIDENCE_LABELS}){BOUNDARY}"""
-                   rf"""["']?[{SPACE}]*[:=][{SPACE}]*){_VALUE}""")
-_PEM = r"(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*PRIVATE KEY-----"
+
+
+def shape(name: str, start: str, end: str, space: str, word: str) -> str:
+    """A credential shape with the classes and boundaries of one text engine."""
+    pattern = V.CREDENTIAL_SHAPES[name]
+    for mark, value in (("<start>", start), ("<end>", end), ("<space>", space), ("<word>", word)):
+        pattern = pattern.replace(mark, value)
+    return pattern
+
+
+def _shape(name: str, start: str = _START) -> str:
+    return shape(name, start, BOUNDARY, SPACE, WORD)
+
+
+_JWT, _BEARER, _URL_LOGIN = _shape("signed token"), "(?iU)" + _shape("bearer"), "(?U)" + _shape("login in a URL")
+_VENDOR_KEY, _PEM = _shape("vendor key"), "(?s)" + _shape("private key")
+_STORED_LABEL = "(?iU)" + _shape("stored label", BOUNDARY) + _shape("value")
+_EVIDENCE_LABEL = "(?iU)" + _shape("evidence label") + _shape("value")
 
 
 def _holds_any(*words: str):

@@ -19,6 +19,8 @@ class LoadPaths:
 
     root: str
     buckets: int = 64
+    #: Turns of the target that stay readable after a load.
+    keep_turns: int = 3
 
     def staging(self, load_id: str) -> str:
         return f"{self.root}/staging/load_id={load_id}"
@@ -64,6 +66,7 @@ def run_load(spark: SparkSession, raw: DataFrame, paths: LoadPaths, watermark_pa
         return {**outcome, "watermark_path": watermark_path}
     next_path = paths.watermark(load_id)
     X.next_watermark(watermarks, staged, pipeline).coalesce(1).write.mode("overwrite").parquet(next_path)
+    targets.tidy_target(spark, paths.target, paths.keep_turns)
     return {**outcome, "watermark_path": next_path}
 
 

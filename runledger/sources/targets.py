@@ -4,8 +4,10 @@ A target is stored in key buckets, and each bucket in versions. A load writes a
 version of the buckets its staged rows fall into and then switches the manifest,
 which names the version that counts of every bucket. Nothing is overwritten in
 place: a load that fails before the switch leaves the target as it was, and is
-simply rerun. One load at a time writes to a target. Versions that the manifest no
-longer names may be removed once no reader uses them.
+simply rerun. One load at a time writes to a target.
+
+:func:`tidy_target` bounds what is left behind: the turns of the manifest before the last
+ones, and the versions that none of the turns kept names. A reader that began at a kept turn is not cut off.
 """
 
 from __future__ import annotations
@@ -77,6 +79,33 @@ def read_target(spark: SparkSession, path: str, ddl: str, buckets: Iterable[int]
     return rows.where(reduce(lambda a, b: a | b, current, F.lit(False))).drop(VERSION)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def tidy_target(spark: SparkSession, path: str, keep_turns: int = 3) -> dict[str, int]:
+    """Remove manifest files and versions that only turns before the last ``keep_turns`` need.
+
+    Counts of what was removed. Listed are the manifest, one file a turn since the last
+    tidying, and the version folders. A version written but never named, by a load that
+    broke off, goes as well; so do not run it while a load is writing.
+    """
+    if keep_turns < 1:
+        raise ValueError("the last turn must be kept")
+    turns = spark.read.schema(f"turn LONG, {BUCKET} INT, {VERSION} STRING").parquet(_manifest_path(path)).select("*", "_metadata.file_path")
+    last = turns.agg(F.max("turn")).first()[0]
+    kept = F.col("turn") > last - keep_turns
+    named = {r[VERSION] for r in turns.where(kept).select(VERSION).distinct().collect()}
+    stale = [r["file_path"] for r in turns.groupBy("file_path").agg(F.max("turn").alias("turn")).where(~kept).select("file_path").collect()]
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = [str(f.getPath().toString()) for f in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    unnamed = [f for f in there if f.rsplit("/", 1)[-1].startswith(f"{VERSION}=") and f.rsplit("=", 1)[-1] not in named]
+    for gone in stale + unnamed:
+        _delete(spark, gone)
+    return {"manifest_files": len(stale), "versions": len(unnamed)}
+
+
 def upsert_target(path: str, staged: DataFrame, key: str, ddl: str, buckets: int) -> None:
     """Insert new keys and replace existing ones, bucket by bucket; a null key replaces a null key.
 

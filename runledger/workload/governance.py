@@ -18,6 +18,7 @@ from runledger.operators import post_action as PA
 from runledger.operators import proposals as PR
 from runledger.operators import verification as VR
 from runledger.session import cut_lineage
+from runledger.sources import schemas as S
 from runledger.workload.adapters import NO_CHANGE, cte, view
 from runledger.workload.registry import query
 
@@ -146,12 +147,14 @@ def _policies(spark, sf):
 
 
 @query("policy_decisions", f"""{cte("proposal_json")}, {_POLICY} SELECT okey, decision, risk AS calculated_risk,
-array_to_string(blocked, ',') AS blocked_actions, allowed AS allowed_actions FROM policy""")
+array_to_string(blocked, ',') AS blocked_actions, allowed AS allowed_actions,
+CASE WHEN len(blocked) > 0 THEN array_to_string(blocked, ',') ELSE kind || '_is_' || risk || '_risk,' || CASE kind WHEN 'no_change' THEN 'no_operation'
+ ELSE 'approval_before_action' END || ',human_approval_mandatory' END AS reasons FROM policy""")
 def policy_decisions(spark, sf):
     return _policies(spark, sf).select(
         "okey", "policy.decision", "policy.calculated_risk",
         F.array_join("policy.blocked_actions", ",").alias("blocked_actions"),
-        F.array_join("policy.allowed_actions", ",").alias("allowed_actions"))
+        F.array_join("policy.allowed_actions", ",").alias("allowed_actions"), F.array_join("policy.reasons", ",").alias("reasons"))
 
 
 @query("policy_rule_counts", f"""{cte("proposal_json")}, {_POLICY} SELECT rule, count(*) AS proposals
@@ -243,13 +246,24 @@ def decision_times(spark, sf):
 # --- executions ------------------------------------------------------------------------
 
 def _requests(spark, sf):
-    """One requested investigation per decided approval, some of them wrong."""
+    """One requested investigation per decided approval; every kind of refusal occurs."""
     k = F.col("okey")
     rows = cut_lineage(_decided(spark, sf), "decided")
     ctx = F.when(k % 53 == 0, F.col("context").withField("dag_run_id", F.lit("run_other"))).otherwise(F.col("context"))
-    policy = F.when(k % 59 == 0, F.col("policy").withField("reasons", F.array(F.lit("other")))).otherwise(F.col("policy"))
+    # Approved before somebody added a step that no policy allows.
+    stopped = F.struct(F.lit("block").alias("decision"), F.lit("high").alias("calculated_risk"), F.array(F.lit("drop_database_objects")).alias("reasons"),
+                       F.array().cast("array<string>").alias("allowed_actions"), F.array(F.lit("drop_database_objects")).alias("blocked_actions"),
+                       F.lit(True).alias("requires_human_approval")).cast(S.struct_ddl(S.POLICY_DDL))
+    p = F.col("proposal")
+    proposal = (F.when(k % 71 == 0, p.withField("confidence", F.lit(2.0)))
+                .when(k % 73 == 0, p.withField("validation_steps", F.array(F.lit("Drop table x"))).withField("proposed_action", F.lit("Look"))).otherwise(p))
+    own = F.when(k % 71 == 0, F.lit(None)).when(k % 73 == 0, stopped).otherwise(F.col("evaluated"))
+    given = F.when(k % 73 == 0, stopped).otherwise(F.col("policy"))
+    policy = F.when(k % 59 == 0, given.withField("reasons", F.array(F.lit("other")))).otherwise(given)
+    a = F.col("approval")
+    approval = (F.when(k % 67 == 0, a.withField("approved_by", F.lit(" "))).when(k % 61 == 0, a.withField("proposed_action", F.lit("Other"))).otherwise(a))
     return rows.select(
-        "okey", "approval", "proposal", "evaluated", policy.alias("policy"), ctx.alias("context"),
+        "okey", approval.alias("approval"), proposal.alias("proposal"), own.alias("evaluated"), policy.alias("policy"), ctx.alias("context"),
         F.when(k % 47 == 0, " ").otherwise(F.concat(F.lit("ex_"), k)).alias("execution_id"),
         F.when(k % 37 == 0, "rerun_task").otherwise(V.READ_ONLY_OPERATION).alias("operation"),
         F.when(k % 41 == 0, "2024-03-01T09:59:00+00:00").otherwise("2024-03-01T11:00:00+00:00").alias("started_at"),
@@ -259,10 +273,14 @@ def _requests(spark, sf):
 _AUDIT = f"""{_CREATED}, {_DECIDED},
 audit AS (SELECT *, CASE
   WHEN okey % 47 = 0 OR okey % 43 = 0 THEN 'bad_id_or_times'
+  WHEN okey % 67 = 0 THEN 'bad_approval'
   WHEN status <> 'APPROVED' THEN 'not_approved'
   WHEN okey % 37 = 0 THEN 'operation_not_allowed'
   WHEN kind <> 'investigation' THEN 'action_type_not_allowed'
+  WHEN okey % 71 = 0 THEN 'invalid_proposal'
   WHEN okey % 59 = 0 THEN 'policy_mismatch'
+  WHEN okey % 73 = 0 THEN 'policy_forbids'
+  WHEN okey % 61 = 0 THEN 'approval_mismatch'
   WHEN okey % 53 = 0 THEN 'other_incident'
   WHEN okey % 41 = 0 THEN 'approved_after_start' END AS refusal FROM decided)"""
 
@@ -273,7 +291,7 @@ def _executions(spark, sf):
 
 @query("execution_audit", f"""{cte("proposal_json", "decisions")}, {_POLICY}, {_AUDIT}
 SELECT okey, refusal, CASE WHEN refusal IS NULL THEN 'COMPLETED' ELSE 'REFUSED' END AS status,
-CASE WHEN coalesce(refusal, '') <> 'bad_id_or_times' THEN approval_id END AS approval_id,
+CASE WHEN coalesce(refusal, '') NOT IN ('bad_id_or_times', 'bad_approval') THEN approval_id END AS approval_id,
 CASE WHEN okey % 37 <> 0 THEN 'read_only_investigation' END AS operation,
 CASE WHEN okey % 41 = 0 THEN '2024-03-01T09:59:00+00:00' ELSE '2024-03-01T11:00:00+00:00' END AS started_at FROM audit""")
 def execution_audit(spark, sf):

@@ -8,8 +8,9 @@ from runledger.operators import quality as Q
 from runledger.operators import transactions as X
 from runledger.plans.incremental_load import LoadPaths, create_pipeline, plan_load, run_load
 from runledger.session import shared_dir
+from runledger.sources.tables import read_transactions
 from runledger.sources.tables import stored_watermark
-from runledger.workload.adapters import MARK, PIPELINE, cte, view
+from runledger.workload.adapters import MARK, PIPELINE, cte, laid, view
 from runledger.workload.registry import query
 
 _BASE = cte("raw_transactions", "watermarks")
@@ -130,6 +131,7 @@ def incremental_load(spark, sf):
     """The whole load with its tables written: staging, bucketed target, mark."""
     raw, _, before = _inputs(spark, sf)
     paths = LoadPaths(shared_dir(spark, "load"), buckets=16)
+    raw = read_transactions(spark, laid(raw.select(*X.COLUMNS), f"{paths.root}/raw"))
     mark = create_pipeline(spark, paths, PIPELINE, MARK, initial=before)
     outcome = run_load(spark, raw, paths, mark, "first", PIPELINE)
     if outcome["status"] != "PASSED":

@@ -197,3 +197,31 @@ def test_run_watch(spark):
     out = watch.watch_runs(read(base + "/t"), read(base + "/o"))
     out.writeStream.format("parquet").option("checkpointLocation", base + "/c").trigger(availableNow=True).start(base + "/out").awaitTermination()
     assert {(r["dag_run_id"], r["outcome"]) for r in spark.read.parquet(base + "/out").collect()} == {("r1", "DECIDED"), ("r2", "TIMEOUT"), ("r3", "INCONCLUSIVE")}
+
+
+def test_many_loads_leave_a_bounded_number_of_files(spark, tmp_path):
+    ddl, path = "id BIGINT, v BIGINT", str(tmp_path / "t")
+    targets.create_target(spark.createDataFrame([(i, 0) for i in range(8)], ddl), path, "id", 4)
+    for turn in range(1, 13):
+        targets.upsert_target(path, spark.createDataFrame([(turn % 8, turn)], ddl), "id", ddl, 4)
+        if turn == 11:
+            reader = targets.read_target(spark, path, ddl)  # of a turn that is still kept later
+        if turn % 4 == 0:
+            targets.tidy_target(spark, path, 3)
+    assert {r["id"]: r["v"] for r in targets.read_target(spark, path, ddl).collect()} == {0: 8, 1: 9, 2: 10, 3: 11, 4: 12, 5: 5, 6: 6, 7: 7}
+    assert {r["id"]: r["v"] for r in reader.collect()} == {0: 8, 1: 9, 2: 10, 3: 11, 4: 4, 5: 5, 6: 6, 7: 7}
+    files = [f for f in (tmp_path / "t-manifest").glob("*.parquet")]
+    assert len(files) == 3 and len(list((tmp_path / "t").glob("version=*"))) <= 6
+    with pytest.raises(ValueError):
+        targets.tidy_target(spark, path, 0)
+
+
+def test_overlapping_playbooks_the_longest_prefix_wins(spark):
+    from runledger.operators import playbooks
+    row = lambda name, prefix, dag="d": (name, dag, "t", "E", prefix, name, "a", "s", "r", "medium", ["x"], "b", "{}")
+    books = spark.createDataFrame([row("short", "Feed"), row("long", "Feed lost"), row("twin_b", "Feed lost now"), row("twin_a", "Feed lost now"),
+                                   row("none", None), row("other", "Feed", "d2")], schemas.PLAYBOOKS_DDL)
+    cases = [("d", "t", "E", m) for m in ("Feed late", "Feed lost again", "Feed lost now!", "No feed", None)] + [("d", "t", None, "Feed"), ("d2", "t", "E", "Feed"), (None, None, None, None)]
+    ctx = spark.createDataFrame(cases, "dag_id STRING, task_id STRING, exception_type STRING, exception_message STRING").select(F.struct("*").alias("context"))
+    got = {tuple(r["context"]): r["known"] and r["known"]["playbook"] for r in playbooks.match_playbooks(ctx, books).collect()}
+    assert [got[c] for c in cases] == ["short", "long", "twin_a", None, None, None, "other", None]
