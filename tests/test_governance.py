@@ -100,3 +100,52 @@ def test_times(spark):
     rows = spark.createDataFrame([("2026-09-21T12:00:00.5Z",), ("20260921T120000+0200",), ("2026-09-21T12:00:00",), ("x",), (None,)], "t string")
     got = [(r["iso"], r["utc"]) for r in rows.select(iso_utc(aware_timestamp(F.col("t"))).alias("iso"), utc_timestamp(F.col("t")).isNotNull().alias("utc")).collect()]
     assert got == [("2026-09-21T12:00:00.500000+00:00", True), ("2026-09-21T10:00:00+00:00", False), (None, False), (None, False), (None, False)]
+
+
+def test_user_rules_come_after_the_fixed_ones(spark):
+    from runledger import fixed_values as V
+    rows = spark.createDataFrame([(json.dumps({**BASE, "validation_steps": ["Call the vendor", "Drop table x"]}),), (json.dumps(BASE),)], "j string")
+    judged = proposals.validate_proposals(rows, "j")
+    got = [r["policy"] for r in policy.evaluate_policy(judged, rules=(*V.DANGEROUS_PATTERNS, ("outside_contact", r"\bvendor\b"))).collect()]
+    assert got[0]["blocked_actions"] == ["drop_database_objects", "outside_contact"] and got[1]["decision"] == "require_approval"
+
+
+APPROVAL = dict(approval_id="a", status="APPROVED", dag_id="d", dag_run_id="r", task_id="t", action_type="investigation", calculated_risk="low",
+                proposed_action="Look", policy_decision="require_approval", approved_by="ann", decision_timestamp="2026-01-02T03:04:05+00:00")
+UNDECIDED = dict(status="PENDING_APPROVAL", approved_by=None, decision_timestamp=None)
+
+
+@pytest.mark.parametrize("change,reason", [
+    ({}, None), (UNDECIDED, None), (UNDECIDED | dict(status="BLOCKED", policy_decision="block"), None), (dict(status="REJECTED"), None),
+    (dict(extra=1), "wrong_fields"), (dict(approved_by=5), "bad_decision_fields"), (dict(task_id="\t"), "blank_text"), (dict(calculated_risk="huge"), "bad_value"),
+    (UNDECIDED | dict(status="BLOCKED"), "block_mismatch"), (dict(policy_decision="block"), "block_mismatch"), (dict(status="PENDING_APPROVAL"), "decision_on_undecided"),
+    (dict(approved_by=None), "no_reviewer"), (dict(decision_timestamp="2026-01-02T03:04:05"), "bad_decision_time"), (dict(decision_timestamp="2026-01-02T03:04:05+01:00"), "bad_decision_time")])
+def test_approval_records(spark, change, reason):
+    row = approvals.validate_approvals(spark.createDataFrame([(json.dumps(APPROVAL | change),)], "j string"), "j").first()
+    assert row["reject_reason"] == reason and (row["approval"] is None) == (reason is not None)
+
+
+def test_every_refusal_of_an_execution(spark):
+    from runledger.operators import execution
+    from runledger.sources import schemas as S
+    allowed = dict(decision="require_approval", calculated_risk="low", reasons=["investigation_is_low_risk", "approval_before_action", "human_approval_mandatory"],
+                   allowed_actions=["read_only_investigation"], blocked_actions=[], requires_human_approval=True)
+    blocked = dict(decision="block", calculated_risk="high", reasons=["drop_database_objects"], allowed_actions=[], blocked_actions=["drop_database_objects"], requires_human_approval=True)
+    request = dict(execution_id="e", operation="read_only_investigation", started_at="2026-01-02T04:00:00+00:00", completed_at="2026-01-02T04:00:01+00:00")
+    agreed = APPROVAL | dict(proposed_action=BASE["proposed_action"])
+    cases = [  # request, approval, proposal, policy, context; the first defect names the refusal
+        ({}, {}, {}, allowed, {}, None), (dict(execution_id=" "), dict(approved_by=None), {}, allowed, {}, "bad_id_or_times"),
+        (dict(completed_at="2026-01-02T03:00:00Z"), {}, {}, allowed, {}, "bad_id_or_times"), ({}, dict(approved_by=None), {}, allowed, {}, "bad_approval"),
+        (dict(operation="x"), UNDECIDED, {}, allowed, {}, "not_approved"), (dict(operation="rerun"), {}, {}, allowed, {}, "operation_not_allowed"),
+        ({}, dict(action_type="no_change"), {}, allowed, {}, "action_type_not_allowed"), ({}, {}, dict(confidence=7.0), allowed, {}, "invalid_proposal"),
+        ({}, {}, {}, allowed | dict(reasons=[]), {}, "policy_mismatch"), ({}, {}, dict(validation_steps=["Drop table x"]), blocked, {}, "policy_forbids"),
+        ({}, dict(proposed_action="Other"), {}, allowed, {}, "approval_mismatch"), ({}, {}, {}, allowed, dict(task_id="u"), "other_incident"),
+        (dict(started_at="2026-01-02T03:00:00Z"), {}, {}, allowed, {}, "approved_after_start")]
+    ddl = (f"id int, execution_id string, operation string, started_at string, completed_at string, approval struct<{S.APPROVAL_DDL}>, "
+           f"proposal struct<{S.PROPOSAL_DDL}>, policy struct<{S.POLICY_DDL}>, context struct<dag_id: string, dag_run_id: string, task_id: string>")
+    rows = [dict(id=i, **(request | r), approval=agreed | a, proposal=BASE | p, policy=q, context=dict(dag_id="d", dag_run_id="r", task_id="t") | c)
+            for i, (r, a, p, q, c, _) in enumerate(cases)]
+    got = {r["id"]: r for r in execution.audit_executions(spark.createDataFrame(rows, ddl)).collect()}
+    assert [got[i]["refusal"] for i in range(len(cases))] == [c[-1] for c in cases]
+    assert got[0]["execution"]["status"] == "COMPLETED" and got[3]["execution"]["approval_id"] is None
+    assert all(r["execution"]["result"]["mutations_performed"] is False for r in got.values())
