@@ -23,7 +23,7 @@ The loss mask covers the escaped text of assistant turns.
 
 Null texts and roles are empty, null conv_ids form one conversation, null messages come first.
 Events equal in conversation, message and seq keep the order of kind, then text. Rows of one
-conversation with the same turn are different messages, ordered by role and text. Empty tables
+conversation with the same turn are different messages, ordered by role and the text's digest. Empty tables
 give no rows; extra columns are ignored.
 """
 

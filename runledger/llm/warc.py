@@ -39,6 +39,8 @@ from runledger.session import shared_dir
 
 #: Bytes of one package before it is closed, of one range read, and the payloads that may be revisited.
 PACKAGE, RUN, LEAST = 16 << 20, 2 << 20, 1000
+#: Runs that one reading task gets on average.
+TASK_RUNS = 8
 # Signatures of the ZIP format.
 LOCAL, CENTRAL, EOCD, EOCD64, LOCATOR = (struct.pack("<I", s) for s in (0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50))
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
@@ -140,7 +142,10 @@ def _written(folder: str, records: list[bytes]) -> str:
 
 
 def write_packages(pages: DataFrame, folder: str, least: int = LEAST, id: str = "page_id", payload: str = "html") -> DataFrame:
-    """Write the archives below ``folder``; returns ``path`` and ``records`` of each package."""
+    """Write the archives below ``folder``; returns ``path`` and ``records`` of each package.
+
+    Ids are integers or texts; a null column ``id`` of their type tells the reader which.
+    """
     rows = pages.select(F.col(id).alias("id"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     keyed = rows.select("id", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes"))
     slim = keyed.where(F.col("bytes") >= least).select("id", "digest", "bytes")
@@ -161,7 +166,8 @@ def write_packages(pages: DataFrame, folder: str, least: int = LEAST, id: str =
         if records:
             yield pa.RecordBatch.from_arrays([pa.array([_written(folder, records)]), pa.array([len(records)], pa.int64())], ["path", "records"])
 
-    return stored(marked.mapInArrow(run, "path string, records long"), "packages")
+    made = marked.mapInArrow(run, "path string, records long")
+    return stored(made.withColumn("id", F.lit(None).cast(pages.schema[id].dataType)), "packages")
 
 
 def _open(path: str):
@@ -194,11 +200,17 @@ def record_runs(packages: DataFrame) -> DataFrame:
     return packages.select("path").mapInArrow(run, "path string, at long, lengths array<long>")
 
 
-def read_packages(packages: DataFrame, id_type: str = "long") -> DataFrame:
+def read_packages(packages: DataFrame, id_type: str | None = None) -> DataFrame:
     """``id``, ``type``, ``refers_to``, ``payload`` (null for revisits), ``payload_bytes`` and ``digest`` of each record.
 
+    Ids have the type of the column ``id`` of ``packages``; a list of paths without it names
+    ``id_type``. A task reads about ``TASK_RUNS`` runs, however small the rows that name them.
     Size and digest of a response are taken from the payload read, those of a revisit from its header.
     """
+    id_type = id_type or packages.schema["id"].dataType.simpleString()
+    integers = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64()}
+    kind = integers.get(id_type, pa.string())
+
     def run(batches):
         for batch in batches:
             for path, at, lengths in zip(*(c.to_pylist() for c in batch.columns)):
@@ -214,12 +226,11 @@ def read_packages(packages: DataFrame, id_type: str = "long") -> DataFrame:
                                 hashlib.sha1(body).hexdigest() if full else head["WARC-Payload-Digest"].partition(":")[2]))
                 columns = zip(*out)
                 types = (None, pa.string(), None, pa.binary(), pa.int64(), pa.string())
-                kind = pa.int64() if id_type in ("long", "bigint") else pa.string()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t or kind) for c, t in zip(columns, types)],
                                                  ["id", "type", "refers_to", "payload", "payload_bytes", "digest"])
 
-    runs = record_runs(packages)
-    return runs.repartition(F.xxhash64("path", "at")).mapInArrow(
+    runs = stored(record_runs(packages), "record_runs")
+    return runs.repartition(max(1, -(-runs.count() // TASK_RUNS)), F.xxhash64("path", "at")).mapInArrow(
         run, f"id {id_type}, type string, refers_to {id_type}, payload binary, payload_bytes long, digest string")
 
 
