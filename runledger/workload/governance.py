@@ -19,8 +19,9 @@ from runledger.operators import proposals as PR
 from runledger.operators import verification as VR
 from runledger.session import cut_lineage
 from runledger.sources import schemas as S
-from runledger.workload.adapters import NO_CHANGE, cte, view
+from runledger.workload.adapters import NO_CHANGE, SECRETS, cte, view
 from runledger.workload.registry import query
+from runledger.workload.text import _EVIDENCE
 
 _IDS = ("dag_id", "dag_run_id", "task_id")
 
@@ -101,10 +102,11 @@ def _proposals(spark, sf):
     return PR.validate_proposals(view(spark, sf, "proposal_json"), "response")
 
 
-@query("compact_contexts", """SELECT conv_id, turn, role AS task_id, text[:1] IS NOT NULL AS has_message,
-CASE WHEN turn % 3 = 0 THEN CAST(turn AS VARCHAR) END AS try_number FROM conversations""")
+@query("compact_contexts", f"""SELECT conv_id, turn, role AS task_id, md5(substring(split_part(r, chr(10), 1), 1, 1000)) AS message,
+CASE WHEN turn % 3 = 0 THEN CAST(turn AS VARCHAR) END AS try_number, CAST(NULL AS VARCHAR) AS dag_id
+FROM (SELECT *, {_EVIDENCE} AS r FROM conversations)""")
 def compact_contexts(spark, sf):
-    """Contexts as loose JSON: one attempt number in three is a real integer."""
+    """Contexts as loose JSON: one attempt number in three is a real integer, the pipeline is a number and so dropped."""
     turn = F.col("turn")
     number = (F.when(turn % 3 == 0, turn.cast("string")).when(turn % 3 == 1, F.concat(turn, F.lit(".0")))
               .otherwise(F.concat(F.lit('"'), turn, F.lit('"'))))
@@ -113,10 +115,9 @@ def compact_contexts(spark, sf):
                                F.lit(5).alias("dag_id"), F.lit("x").alias("unknown_field")))
     rows = spark.read.parquet(f"{sf}/conversations.parquet").withColumn(
         "j", F.concat(F.lit('{"try_number":'), number, F.lit(","), F.substring(known, 2, 1 << 30)))
-    return PR.compact_contexts(rows, "j").select(
-        "conv_id", "turn", "context.task_id",
-        (F.col("context.exception_message").isNotNull() & F.col("context.dag_id").isNull()).alias("has_message"),
-        F.col("context.try_number").cast("string").alias("try_number"))
+    return PR.compact_contexts(rows, "j", SECRETS).select(
+        "conv_id", "turn", "context.task_id", F.md5("context.exception_message").alias("message"),
+        F.col("context.try_number").cast("string").alias("try_number"), "context.dag_id")
 
 
 # --- policy -------------------------------------------------------------------------
