@@ -94,10 +94,16 @@ def test_no_decision_is_lost_by_its_stated_time(spark):
                 ("z", 3, "reject", "eve", "2024-01-01T09:00:00+00:00"), ("b", 4, "approve", "ann", "2024-01-01T08:00:00+00:00")):
         spark.createDataFrame([row], ddl).coalesce(1).write.mode("append").parquet(base + "/in")
     source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(base + "/in")
-    watch.approval_life(source).writeStream.format("parquet").option("checkpointLocation", base + "/c").trigger(
-        availableNow=True).start(base + "/out").awaitTermination()
+    spark.createDataFrame([("z",), ("a",), ("b",)], "approval_id string").write.parquet(base + "/opened")
+    life = watch.approval_life(source, spark.readStream.schema("approval_id string").parquet(base + "/opened"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # ends with its input
+    try:
+        life.writeStream.format("parquet").option("checkpointLocation", base + "/c").trigger(availableNow=True).start(base + "/out").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    # By the clock all that was approved has expired long ago.
     assert sorted((r["approval_id"], r["status"]) for r in spark.read.parquet(base + "/out").collect()) == [
-        ("a", "REJECTED"), ("b", "APPROVED"), ("b", "EXPIRED"), ("z", "APPROVED")]
+        ("a", "REJECTED"), ("b", "APPROVED"), ("b", "EXPIRED"), ("z", "APPROVED"), ("z", "EXPIRED")]
 
 
 def test_bad_attempt_numbers_go_to_quarantine(spark):
