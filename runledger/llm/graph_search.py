@@ -1,12 +1,12 @@
 """Operator 5, nearest neighbours by a robust-pruned directed graph.
 
 Equal vectors become one node that keeps the k + 1 smallest ids, which is all that a
-query can return of them. Nodes are dealt to shards of about ``SHARD`` rows. A shard is
+query can return of them. Nodes are dealt to shards of about ``SHARD`` components. A shard is
 indexed in one task, batch by batch: greedy beam searches from the medoid propose
 neighbours of each point, robust pruning keeps a proposal only if no neighbour
 kept before is nearer to it by the factor ``ALPHA``, and reversed edges are pruned
-alike. Every shard row holds its vectors and its graph; blocks of queries are
-searched in every shard with a beam of ``BEAM``, and the shards' answers are merged.
+alike. Every shard row holds its vectors and its graph; all queries are
+searched in every shard, which stays where it is, with a beam of ``BEAM``, and the shards' answers are merged.
 
 Distances are Euclidean in double precision on the original vectors. The index is
 approximate, its scores are exact; ties go to the smaller id. Vectors that are null, zero or have null or non-finite
@@ -24,10 +24,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runledger.llm.common import stored
-from runledger.llm.vectors import in_blocks, matrix, paired, rows_of
+from runledger.llm.vectors import in_blocks, matrix, meeting, rows_of
 
-#: Rows of a shard and of a query block; edges of a node, beam widths when building and when searching, slack of pruning.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 256, 32, 64, 128, 1.2
+#: Components of a shard's vectors; edges of a node, beam widths when building and when searching, slack of pruning.
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 1 << 18, 32, 64, 128, 1.2
+#: Queries searched in one go.
+BLOCK = 256
 
 
 def _distances(points: np.ndarray, ids: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -143,27 +145,30 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id: str = "vec_id",
     """
     rows = rows_of(table, id, vector, zero=False)
     graphs = index(rows, k)
-    queries = in_blocks(rows.where(is_query), F.col("row"), BLOCK, F.struct("vec_id", "row", "vec"), "block")
 
     def run(batches):
         for batch in batches:
             for i, dim in enumerate(batch.column("dim").to_pylist()):
-                nodes, asked = (batch.column(x).slice(i, 1).flatten() for x in ("items", "queries"))
-                points, wanted = matrix(nodes, dim), matrix(asked, dim)
+                nodes, every = (batch.column(x).slice(i, 1).flatten() for x in ("items", "queries"))
+                points, start = matrix(nodes, dim), batch.column("start")[i].as_py()
+                near = points.astype(np.float32)
                 graph = np.frombuffer(batch.column("graph")[i].as_py(), np.int32).reshape(len(points), -1)
-                ids, _, _ = beam_search(points.astype(np.float32), graph, batch.column("start")[i].as_py(),
-                                        wanted.astype(np.float32), min(BEAM, len(points)))
-                out, members = [], nodes.field("members").to_pylist()
-                for q, row, beam, vec in zip(asked.field("vec_id").to_pylist(), asked.field("row").to_pylist(), ids, wanted):
-                    beam = beam[beam >= 0]
-                    score = np.sqrt(((points[beam] - vec) ** 2).sum(1))
-                    best = sorted((s, m["vec_id"], m["row"]) for s, p in zip(score.tolist(), beam.tolist()) for m in members[p] if m["row"] != row)
-                    out += [(q, row, v, r, s) for s, v, r in best[:k]]
-                columns = zip(*out) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])],
-                                                 ["query_id", "query_row", "vec_id", "row", "score"])
-
-    found = paired(graphs, queries, "block").select("dim", "items", "graph", "start", "queries").mapInArrow(
+                members = nodes.field("members").to_pylist()
+                for at in range(0, len(every), BLOCK):
+                    asked = every.slice(at, BLOCK)
+                    wanted = matrix(asked, dim)
+                    ids, _, _ = beam_search(near, graph, start, wanted.astype(np.float32), min(BEAM, len(points)))
+                    out = []
+                    for q, row, beam, vec in zip(asked.field("vec_id").to_pylist(), asked.field("row").to_pylist(), ids, wanted):
+                        beam = beam[beam >= 0]
+                        score = np.sqrt(((points[beam] - vec) ** 2).sum(1))
+                        best = sorted((s, m["vec_id"], m["row"]) for s, p in zip(score.tolist(), beam.tolist()) for m in members[p] if m["row"] != row)
+                        out += [(q, row, v, r, s) for s, v, r in best[:k]]
+                    columns = zip(*out) if out else [()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.float64()])],
+                                                     ["query_id", "query_row", "vec_id", "row", "score"])
+
+    found = meeting(graphs, rows.where(is_query), F.struct("vec_id", "row", "vec")).select("dim", "items", "graph", "start", "queries").mapInArrow(
         run, "query_id long, query_row long, vec_id long, row long, score double")
     rank = F.row_number().over(W.partitionBy("query_row").orderBy("score", "vec_id", "row"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
