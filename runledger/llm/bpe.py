@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from runledger.llm.bytepairs import NEVER, Vocabulary, vocabulary
 from runledger.llm.common import chunks, drop_worker_caches, give_back, worker_cache
-from runledger.llm.token_counts import merge
+from runledger.llm.token_counts import SYMBOLS, merge
 
 #: Pre-tokens a worker remembers, about 300 bytes each, and bytes of text it encodes at once.
 KEPT_WORDS, AT_ONCE = 1_000_000, 1 << 20
@@ -92,9 +92,16 @@ class Encoder:
         return out
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
+        some, filled = [], 0
+        for word in [*(w for w in words if w not in self.index), None]:
+            if some and (word is None or filled + len(word) > SYMBOLS):
+                self._learn(some)
+                some, filled = [], 0
+            if word is not None:
+                some.append(word)
+                filled += len(word)
+
+    def _learn(self, new: list[str]) -> None:
         data = [w.encode() for w in new]
         found = [self.propose(d) for d in data]
         owner = np.repeat(np.arange(len(new)), [len(f) for f in found])

@@ -76,6 +76,11 @@ class Vocabulary:
         keys = first * size + second
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = np.append(keys[order], NEVER), np.append(order, NEVER), np.append(made[order], -1)
+        # Byte pairs inside some merged token; no merge ever crosses any other pair.
+        self.inside = np.zeros((256, 256), bool)
+        for t in np.flatnonzero(self.rank >= 0).tolist():
+            held = np.frombuffer(self.token[t], np.uint8)
+            self.inside[held[:-1], held[1:]] = True
         self.split, self.narrow = regex.compile(SPLIT), re.compile(narrow_split())
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

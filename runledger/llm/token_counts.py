@@ -1,7 +1,9 @@
 """Operator 8, token counts by rank-synchronous merging of ragged numpy arrays.
 
 The pre-tokens that a batch of texts brings for the first time are laid end to end
-in one array. In each round every sequence finds its own lowest-rank pair and all
+in one array. A pre-token is first cut into sequences wherever two bytes meet that no
+token holds side by side: no merge crosses such a border, so the pieces of a very long word merge
+like words of their own. In each round every sequence finds its own lowest-rank pair and all
 sequences merge theirs at the same time; sequences without a pair retire with the
 number of symbols left. Counts of pre-tokens are kept by the worker up to a bound.
 
@@ -28,11 +30,13 @@ KEPT_WORDS, SYMBOLS = 1_000_000, 1 << 20
 def merge(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Exact merging of many words at once: the tokens laid end to end, and the word of each.
 
-    In each round every word finds its own lowest-rank pair and all words merge
-    theirs at the same time; words without a pair retire.
+    Words are cut where no merge can cross. In each round every piece finds its own lowest-rank
+    pair and all pieces merge theirs at the same time; pieces without a pair retire.
     """
-    symbols = vocab.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    data = np.frombuffer(b"".join(words), np.uint8)
+    word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    begins = np.append(True, (word[1:] != word[:-1]) | ~vocab.inside[data[:-1], data[1:]])[:len(data)]
+    symbols, owner, word = vocab.of_byte[data], np.cumsum(begins) - 1, word[begins]
     retired_symbols, retired_owner = [symbols[:0]], [owner[:0]]
     while len(symbols):
         inside = owner[1:] == owner[:-1]
@@ -56,7 +60,7 @@ def merge(vocab: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray
         symbols, owner = symbols[keep], owner[keep]
     symbols, owner = np.concatenate(retired_symbols), np.concatenate(retired_owner)
     order = np.argsort(owner, kind="stable")
-    return symbols[order], owner[order]
+    return symbols[order], word[owner[order]]
 
 
 def merged_counts(vocab: Vocabulary, words: list[bytes]) -> np.ndarray:
