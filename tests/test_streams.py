@@ -10,6 +10,7 @@ from runledger.operators import runs
 from runledger.session import shared_dir
 from runledger.sources import schemas as S
 from runledger.streaming import watch
+from runledger.workload import streams
 
 
 def as_stream(spark, df, path, files):
@@ -66,3 +67,16 @@ def test_approvals_are_decided_once_and_forgotten(spark):
                    ("d", "APPROVED", "first"), ("d", "EXPIRED", None), ("e", "REJECTED", "x")]
     left = {r["key"]["approval_id"] for r in spark.read.format("statestore").load(base + "/checkpoint").collect()}
     assert left == {"c", "waits"}
+
+
+def test_registered_decisions_arrive_by_seq_however_slowly_the_first_are_written(spark, tmp_path, monkeypatch):
+    n = 400
+    spark.range(n).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    # The least numbers reject, and their part takes by far the longest to write.
+    row = spark.range(2 * n, numPartitions=8).withColumn("early", F.col("id") < n)
+    long_ = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda k: F.sha2(F.concat_ws(" ", "id", k), 256)))
+    decisions = row.select(F.concat(F.lit("ap_"), F.col("id") % n).alias("approval_id"), F.col("id").alias("seq"), F.when(F.col("early"), "reject").otherwise("approve").alias("command"),
+                           F.when(F.col("early"), long_).otherwise("late").alias("reviewer"), F.lit("2024-03-01T10:00:00+00:00").alias("decided_at"))
+    monkeypatch.setattr(streams, "view", lambda *_: decisions)
+    got = streams.stream_approvals(spark, str(tmp_path)).select("approval_id", "status", F.col("reviewer") == "late").collect()
+    assert {tuple(r) for r in got} == {(f"ap_{k}", "REJECTED", False) for k in range(n) if k % 9 != 4} and len(got) == len({r[0] for r in got})
