@@ -216,7 +216,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id",
         F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn(
         "node", F.monotonically_increasing_id()), "classes")
     posts = stored(prefix_postings(classes), "postings")
-    links, labels = [], None
+    labels = None
     rank = lambda turn: F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", "node", F.lit(turn))
     for turn in range(STARS + 1):
         held = posts.withColumn("label", F.col("node")) if labels is None else posts.join(labels, "node", "left").withColumn(
@@ -237,8 +237,9 @@ def link(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id",
             met = short.join(short.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other")), "key")
             pairs = met.where("label <> other and node < b").where(_near_sizes("n", "m", percent)).select(F.col("node").alias("a"), "b").distinct()
             pairs = pairs.unionByName(across_components(long_, classes, texts, width, percent)).distinct()
-        links.append(stored(confirmed(pairs, classes, texts, width, percent), "links"))
-        labels = stored(components(reduce(DataFrame.unionByName, links)), "labels")
+        links = confirmed(pairs, classes, texts, width, percent)
+        # The labels stand for all links found before: stars, which take fewer rounds to merge than the links again.
+        labels = stored(components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
     marked = classes.join(labels, "node", "left").select("cls", "least", F.coalesce("label", "node").alias("label"))
     smallest = marked.groupBy("label").agg(F.min("least").alias("component_id"))
     place = marked.join(smallest, "label").select("cls", "component_id")

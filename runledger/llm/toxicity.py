@@ -95,7 +95,9 @@ class Model:
     def gates(self, words: list[str]) -> np.ndarray:
         """What a word adds to the gates of both directions, computed once for each word."""
         w = self.weights
-        return self.inputs(words) @ np.concatenate([w["in_f"], w["in_b"]], 1) + np.concatenate([w["bias_f"], w["bias_b"]])
+        out = self.inputs(words) @ np.concatenate([w["in_f"], w["in_b"]], 1)
+        out += np.concatenate([w["bias_f"], w["bias_b"]])
+        return out
 
 
 def _recur(gates: np.ndarray, mask: np.ndarray, state: np.ndarray, keep: list | None) -> list[np.ndarray]:
@@ -168,7 +170,7 @@ def backward(weights: dict, keep: dict, mask: np.ndarray, d_logit: np.ndarray) -
 def _windows(texts: list[np.ndarray], empty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers (rows, WINDOW) padded with ``empty``, lengths, and the text of each window."""
     rows = [(i, t[a:a + WINDOW]) for i, t in enumerate(texts) for a in windows_of(len(t))]
-    out, lengths = np.full((len(rows), WINDOW), empty, np.int64), np.empty(len(rows), np.int64)
+    out, lengths = np.full((len(rows), WINDOW), empty, np.int32), np.empty(len(rows), np.int64)
     for k, (_, part) in enumerate(rows):
         out[k, :len(part)], lengths[k] = part, len(part)
     return out, lengths, np.array([i for i, _ in rows], np.int64)
@@ -209,7 +211,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, seed: int = 0, l
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, {}, (0.0, 0.0, 30.0 if share == 1 else -30.0))
     for text in texts:
-        coded.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int64))
+        coded.append(np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32))
     everything = list(number)
     seen = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=len(number))
     vocabulary = {w: i + 1 for i, w in enumerate(w for w, n in zip(everything, seen) if n >= least_seen)}
@@ -325,7 +327,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
     rows = sorted(training_rows(docs, labels, **columns).select("id", "text", "label").collect(), key=lambda r: r["id"])
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+    model = train([r["text"] for r in rows], [r["label"] for r in rows])
+    # What training held would stay with the driver's Python beside all that comes after.
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

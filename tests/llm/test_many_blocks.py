@@ -1,6 +1,7 @@
 """The layouts that small tables never reach: many blocks, turns, parts and lists; full filters; very long words."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ pytest.importorskip("runledger.llm.queries")
 import public_tokenizers  # noqa: E402
 import tokenizers  # noqa: E402
 
-from runledger.llm import bpe, exact_topk, graph_search, near_dedup, token_counts, vectors  # noqa: E402
+from runledger.llm import bpe, exact_topk, graph_search, near_dedup, token_counts, toxicity, vectors  # noqa: E402
 from runledger.llm.bytepairs import vocabulary  # noqa: E402
 from runledger.llm.common import tuned  # noqa: E402
 from tests.llm.test_operators import _components  # noqa: E402
@@ -120,3 +121,43 @@ def test_very_long_words(library):
 def test_token_queries_of_empty_tables(spark):
     none = tuned(spark).createDataFrame([], "doc_id long, text string")
     assert token_counts.count_tokens(none, PATH).count() == 0 == bpe.decode_ids(bpe.encode(none, PATH), PATH).count()
+
+
+def test_training_holds_its_gates_once_and_gives_back_what_it_held(spark, monkeypatch):
+    words = [f"word{i}" for i in range(200_000)]
+    model = toxicity.train(["good word", "bad word"] * 3, [0, 1] * 3, epochs=1)
+    tracemalloc.start()
+    try:
+        held = model.gates(words).nbytes
+        assert tracemalloc.get_traced_memory()[1] < 1.6 * held
+    finally:
+        tracemalloc.stop()
+    order, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: (train(*a), order.append("trained"))[0])
+    monkeypatch.setattr(toxicity, "give_back", lambda: order.append("given back"))
+    docs = spark.createDataFrame([(i, "so so") for i in range(9)], "doc_id long, text string")
+    toxicity.fit(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
+    assert order == ["trained", "given back"]
+
+
+def test_near_dedup_merges_labels_with_new_links_only(spark, monkeypatch):
+    rng, seen, of = np.random.default_rng(6), [], near_dedup.components
+    words = [f"w{i}" for i in range(300)]
+    base, rows = [str(rng.choice(words)) for _ in range(100)], []
+    for i in range(40):
+        text = list(base)
+        for k in rng.integers(0, 100, 2):
+            text[k] = str(rng.choice(words))
+        rows.append((i, " ".join(text)))
+
+    def spied(edges):
+        labels = of(edges)
+        seen.append((edges.distinct().count(), labels.where("node <> label").count()))
+        return labels
+
+    monkeypatch.setattr(near_dedup, "components", spied)
+    docs = tuned(spark).createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link(docs, width=2).collect()}
+    assert got == _components(rows, 2, 80)
+    # The first round finds all; those after it read one edge for each other node instead of the links again.
+    assert len(seen) == near_dedup.STARS + 1 and seen[0][0] > seen[0][1] == len(rows) - 1 and all(x[0] == len(rows) for x in seen[1:])
